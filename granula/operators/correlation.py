@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rng import u01, uniform_index
 
@@ -55,8 +56,8 @@ def packed(occ: DataFrame, vol: str) -> DataFrame:
     b = (F.col("z") % WORD).cast("int")
     w = F.floor(F.col("z") / WORD)
     parts = F.array(
-        F.struct(w.alias("w"), F.shiftleft(one, b).alias("bits")),
-        F.struct((w - 1).alias("w"), F.shiftleft(one, b + WORD).alias("bits")))
+        F.struct(w.alias("w"), F.call_function("shiftleft", one, b).alias("bits")),
+        F.struct((w - 1).alias("w"), F.call_function("shiftleft", one, b + WORD).alias("bits")))
     spread = occ.select(vol, "x", "y", F.explode(parts).alias("p")).select(vol, "x", "y", "p.*")
     return spread.groupBy(vol, "x", "y", "w").agg(F.bit_or("bits").alias("bits"))
 
@@ -137,7 +138,7 @@ def fill_curve(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _filled(values: pd.Series) -> pd.Series:
     def one(v):
         v = np.array([np.nan if c is None else c for c in v], dtype=float)

@@ -18,6 +18,9 @@ from .components import connected_components
 from .ordered import running
 
 CORNERS = ("a", "b", "c")
+# A shell whose signed sum vanishes to this share of its absolute sum encloses nothing; an
+# exact zero would depend on the order of the additions.
+ZERO_VOLUME = 1e-12
 
 
 def corners(tri: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -127,9 +130,10 @@ def closedness(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), shells: bool
     flat = F.lit(False)
     if shells:
         lab = face_shells(tri, keys, share="edge")
+        flux = S.tri_flux(vec("a"), vec("b"), vec("c"))
         vol = (tri.join(lab, [*keys, "fid"]).groupBy(*keys, "shell")
-               .agg(F.sum(S.tri_flux(vec("a"), vec("b"), vec("c"))).alias("v"))
-               .groupBy(*keys).agg(F.max((F.isnan("v") | (F.col("v") == 0)).cast("int")).alias("flat")))
+               .agg(F.sum(flux).alias("v"), F.sum(F.abs(flux)).alias("w"))
+               .groupBy(*keys).agg(F.max((F.isnan("v") | (F.abs("v") <= F.col("w") * ZERO_VOLUME)).cast("int")).alias("flat")))
         out = out.join(vol, list(keys))
         flat = F.col("flat") == 1
     reason = (F.when(F.col("nonfinite_fid").isNotNull(), F.lit("non-finite coordinate"))

@@ -26,5 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def q6(c: Column) -> Column:
-    """Round to 1e-6 with the formula the SQL checks use; never negative zero."""
-    return F.round(c * 1e6) / 1e6 + 0.0
+    """Round to about 1e-6 for comparison with SQL; never negative zero.
+
+    The threshold sits off one half, so short decimals such as 0.8203125 are not ties
+    that the last bit of a sum could tip either way.
+    """
+    return F.floor(c * 1e6 + 0.4370016).cast("double") / 1e6 + 0.0
