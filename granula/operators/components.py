@@ -2,56 +2,63 @@
 
 Every step is one grouped minimum (combined map-side) and one equi-join, so a hub
 node is never gathered into one place, and the number of steps grows with the
-logarithm of the graph, not with its diameter. Each step is checkpointed to the
+logarithm of the graph, not with its diameter. Each step is written to the
 shared checkpoint folder: lineage stays short and a lost executor costs one step.
 """
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     if large:
-        nbr = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nbr = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
     else:
-        nbr = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = nbr.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    linked = nbr.join(low, "u")
+        nbr = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = nbr.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    linked = nbr.join(low, [*keys, "u"])
     if large:
-        out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = linked.filter(F.col("v") > F.col("u")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+        out = linked.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            low.select(*keys, "u", F.col("m").alias("v")))
+    out = out.filter(F.col("u") != F.col("v"))
+    return out if large else out.distinct()
 
 
-def _signature(edges: DataFrame):
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+def _signature(edges: DataFrame, keys: list[str]):
+    h = F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")
+    row = edges.agg(F.count("*").alias("n"), F.sum(h).alias("h")).first()
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, keys: Sequence[str] = (),
+                         max_rounds: int = 100) -> DataFrame:
     """Label every node with the smallest node of its component.
 
-    ``edges`` has columns ``u, v`` (any orderable type); ``nodes``, if given, has a
-    column ``node`` and adds isolated nodes. Returns ``node, component``.
+    ``edges`` has columns ``u, v`` (any orderable type; integers are fastest) and the
+    ``keys`` of independent graphs; ``nodes``, if given, has keys and ``node`` and adds
+    isolated nodes. Returns keys, node, component.
     """
-    ends = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).distinct()
-    ends = ends.select(F.col("u").alias("node"))
-    current = cut(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct())
-    signature = _signature(current)
+    keys = list(keys)
+    current = cut(edges.filter(F.col("u") != F.col("v")).select(*keys, "u", "v").distinct())
+    every = current.select(*keys, F.col("u").alias("node")).unionByName(current.select(*keys, F.col("v").alias("node")))
+    if nodes is not None:
+        every = every.unionByName(nodes.select(*keys, "node"))
+    signature = _signature(current, keys)
     for _ in range(max_rounds):
-        current = cut(_star(_star(current, True), False))
-        fresh = _signature(current)
+        current = cut(_star(_star(current, keys, True), keys, False))
+        fresh = _signature(current, keys)
         if fresh == signature:
             break
         signature = fresh
     else:
         raise RuntimeError("connected components did not settle")
-    every = ends if nodes is None else nodes.select("node").unionByName(ends).distinct()
-    labels = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return every.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    labels = current.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return every.distinct().join(labels, [*keys, "node"], "left").select(*keys, "node", F.coalesce("component", "node").alias("component"))

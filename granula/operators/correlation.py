@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rng import u01, uniform_index
+from ..session import spread
 
 WORD = 31
 MIN_SAMPLES = 200
+BLOCK = 2048
 
 
 @lru_cache(maxsize=32)
@@ -168,15 +170,17 @@ def s2_voxel_mc(occ: DataFrame, dims: DataFrame, vol: str, r_max: int, samples:
     """Monte Carlo S2: uniform voxel, uniform shell offset, hits over in-grid pairs (pooled)."""
     samples = max(samples, MIN_SAMPLES)
     shells = shell_offsets(r_max, pitch)
+    blocks = math.ceil(samples / BLOCK)
     draws = dims.select(vol, "nx", "ny", "nz", F.explode(F.sequence(F.lit(1), F.lit(r_max))).alias("r"))
-    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    draws = spread(draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), vol, "r", "b")
+    draws = draws.withColumn("i", F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("b") * BLOCK + BLOCK, F.lit(samples)) - 1)))
     u = [u01(seed, s, F.col(vol), F.col("r"), F.col("i")) for s in ("x", "y", "z", "offset")]
-    pick = F.lit(None)
-    for r, offs in shells.items():
-        table = _rows(offs, ("dx", "dy", "dz"))
-        pick = F.when(F.col("r") == r, F.element_at(table, uniform_index(u[3], len(offs)) + 1)).otherwise(pick)
-    draws = draws.select(vol, "nx", "ny", "nz", "r", *(uniform_index(c, F.col(n)).cast("bigint").alias(k) for c, n, k in zip(u, ("nx", "ny", "nz"), "xyz")), pick.alias("o"))
-    pairs = draws.select(vol, "r", "x", "y", "z", *((F.col(k) + F.col(f"o.d{k}")).alias(f"{k}2") for k in "xyz"), "nx", "ny", "nz").filter(
+    sizes = F.element_at(F.array(*(F.lit(len(shells[r])) for r in range(1, r_max + 1))), F.col("r"))
+    table = dims.sparkSession.createDataFrame(
+        [(r, j, *o) for r, offs in shells.items() for j, o in enumerate(offs)], "r int, j int, dx int, dy int, dz int")
+    draws = draws.select(vol, "nx", "ny", "nz", "r", *(uniform_index(c, F.col(n)).cast("bigint").alias(k) for c, n, k in zip(u, ("nx", "ny", "nz"), "xyz")), uniform_index(u[3], sizes).alias("j"))
+    draws = draws.join(table, ["r", "j"])
+    pairs = draws.select(vol, "r", "x", "y", "z", *((F.col(k) + F.col(f"d{k}")).alias(f"{k}2") for k in "xyz"), "nx", "ny", "nz").filter(
         "x2 >= 0 AND y2 >= 0 AND z2 >= 0 AND x2 < nx AND y2 < ny AND z2 < nz")
     a = occ.select(vol, *(F.col(k).cast("bigint").alias(k) for k in "xyz"), F.lit(1).alias("first"))
     b = occ.select(vol, *(F.col(k).cast("bigint").alias(k + "2") for k in "xyz"), F.lit(1).alias("second"))

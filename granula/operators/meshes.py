@@ -82,23 +82,18 @@ def face_shells(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), share: str =
 
     Returns keys, fid, shell, where shell is the smallest fid of the shell.
     """
-    key = F.struct(*(F.col(k) for k in keys), F.col("fid"))
     if share == "vertex":
-        incid = corners(tri, [*keys, "fid"]).select(*keys, F.struct("vid").alias("hinge"), "fid")
+        incid = corners(tri, [*keys, "fid"]).select(*keys, F.col("vid").alias("lo"), F.col("vid").alias("hi"), "fid")
     else:
         items = [F.struct(F.least("i" + p, "i" + q).alias("lo"), F.greatest("i" + p, "i" + q).alias("hi"))
                  for p, q in ("ab", "bc", "ca")]
-        incid = tri.select(*keys, F.explode(F.array(*items)).alias("hinge"), "fid")
+        incid = tri.select(*keys, F.explode(F.array(*items)).alias("hinge"), "fid").select(*keys, "hinge.*", "fid")
     # Chain the faces around a hinge through its first face: a hinge of n faces gives n-1 links, not n^2.
-    first = incid.groupBy(*keys, "hinge").agg(F.min("fid").alias("first"))
-    links = incid.join(first, [*keys, "hinge"]).filter(F.col("fid") != F.col("first"))
-    links = links.select(
-        F.struct(*(F.col(k) for k in keys), F.col("first").alias("fid")).alias("u"),
-        F.struct(*(F.col(k) for k in keys), F.col("fid")).alias("v"))
-    nodes = tri.select(key.alias("node"))
-    cc = connected_components(links, nodes)
-    return cc.select(*(F.col("node." + k).alias(k) for k in keys), F.col("node.fid").alias("fid"),
-                     F.col("component.fid").alias("shell"))
+    first = incid.groupBy(*keys, "lo", "hi").agg(F.min("fid").alias("u"))
+    links = incid.join(first, [*keys, "lo", "hi"]).filter(F.col("fid") != F.col("u"))
+    links = links.select(*keys, "u", F.col("fid").alias("v"))
+    cc = connected_components(links, tri.select(*keys, F.col("fid").alias("node")), keys)
+    return cc.select(*keys, F.col("node").alias("fid"), F.col("component").alias("shell"))
 
 
 def closedness(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), shells: bool = True) -> DataFrame:

@@ -55,3 +55,18 @@ def upper_middle(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     half = F.floor(F.col("_n") / 2)
     return marked.filter((F.col("_upto") > half) & (F.col("_from") <= half)).select(
         *group, F.col(value).alias("upper_middle"))
+
+
+def chains(df: DataFrame, group: Sequence[str], value: str, tol: float, name: str = "chain") -> DataFrame:
+    """Number the runs of values whose neighbours lie within ``tol``; values are distinct per group.
+
+    The value before the first row of a block is the largest of the blocks before it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cut(df.repartitionByRange(n, *(F.col(g) for g in group), F.col(value)).withColumn("_block", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.groupBy(*group, "_block").agg(F.max(value).alias("_max")).select(*group, "_block", F.max("_max").over(before).alias("_prev"))
+    within = Window.partitionBy(*group, "_block").orderBy(value)
+    gap = F.col(value) - F.coalesce(F.lag(value).over(within), F.col("_prev"))
+    marked = blocks.join(heads, [*group, "_block"]).withColumn("_new", F.coalesce((gap > tol).cast("int"), F.lit(1)))
+    return running(marked.drop("_block", "_prev"), group, [value], {name: "_new"}).drop("_new")

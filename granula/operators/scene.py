@@ -8,13 +8,13 @@ from operator import and_
 from typing import NamedTuple, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import solids as S
 from ..functions.vec import V, add, cross, div, dot, lit3, norm, scale, sub, vec
 from .gridjoin import contain_join
-from .ordered import numbered
+from .ordered import chains, numbered, running
 
 # Cell type codes and the local node positions of their faces.
 LINE, TRIANGLE, TETRA, VOXEL, HEXAHEDRON = 4, 5, 10, 11, 12
@@ -218,11 +218,8 @@ def merge_hits(hits: DataFrame, keys: Sequence[str], tol: float, rank: str, payl
     Hits are first grouped into chains (gaps within tol); only inside a chain, whose
     distinct depths all lie within tol steps of each other, is the moving anchor walked.
     """
-    w = Window.partitionBy(*keys).orderBy("t", F.col(rank).desc())
     distinct = hits.groupBy(*keys, "t").agg(F.max(F.struct(rank, *payload)).alias("_p")).select(*keys, "t", "_p.*")
-    gap = F.col("t") - F.lag("t").over(w)
-    starts = distinct.withColumn("_new", F.coalesce((gap > tol).cast("int"), F.lit(1)))
-    chained = starts.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = chains(distinct, list(keys), "t", tol, "_chain")
     item = F.struct("t", rank, *payload)
     lists = chained.groupBy(*keys, "_chain").agg(F.sort_array(F.collect_list(item)).alias("_h"))
 
@@ -242,9 +239,9 @@ def composite(hits: DataFrame, keys: Sequence[str], alpha: str, channels: Sequen
     T before a hit is the product of (1 - alpha) of the hits in front, as a running sum
     of logarithms; an opaque hit hides everything behind it.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     a = F.col(alpha)
-    work = hits.withColumn("_l", F.coalesce(F.sum(F.when(a < 1, F.ln(F.greatest(1 - a, F.lit(1e-300)))).otherwise(F.lit(-1e4))).over(w), F.lit(0.0)))
+    logs = hits.withColumn("_a", F.when(a < 1, F.ln(F.greatest(1 - a, F.lit(1e-300)))).otherwise(F.lit(-1e4)))
+    work = running(logs, list(keys), list(order), {"_l": "_a"}, inclusive=False)
     seen = work.withColumn("_T", F.exp("_l")).filter(F.col("_T") >= STOP_TRANSMITTANCE)
     weight = F.col("_T") * a
     return seen.groupBy(*keys).agg(

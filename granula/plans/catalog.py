@@ -1,4 +1,4 @@
 """Loads every query module into the registry."""
 
-from . import mesh_queries, population_queries, scene_queries, search_queries, voxel_queries  # noqa: F401
+from . import io_queries, mesh_queries, population_queries, scene_queries, search_queries, voxel_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so later steps neither recompute nor replay it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the checkpoint folder and continue from there.
+
+    Later steps neither recompute it nor carry its plan, a lost executor costs only the
+    step at hand, and Spark knows the table's size when it picks the next join. (A
+    ``checkpoint()`` would compute the last stage twice.)
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/granula-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Distribute few rows that each expand to many over all tasks before they do."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
 def q6(c: Column) -> Column:
