@@ -3,7 +3,7 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(__file__))
+sys.path[:0] = [os.path.dirname(__file__), os.path.join(os.path.dirname(__file__), "tests")]
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +11,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[4]").appName("granula-tests")
-         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

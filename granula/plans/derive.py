@@ -13,6 +13,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fan_out
 from .registry import table
 
 
@@ -64,7 +65,7 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
     """One body per order: part, mesh_id (customer), kind, centre cx.., half sizes hx.., status."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
-    return o.select(
+    return fan_out(o).select(
         k.alias("part"), F.col("o_custkey").alias("mesh_id"), (k % 2).cast("int").alias("kind"),
         (F.col("o_totalprice") / 5000).alias("cx"),
         ((F.col("o_custkey") % 100) + (k % 8) / 8).alias("cy"), (k / 100).alias("cz"),
@@ -216,7 +217,7 @@ dense AS (SELECT vol, x, y, z, coalesce(v, 0) AS v, {NX} AS nx, {NY} AS ny, {NZ}
 def probe_points(spark: SparkSession, sf: str) -> DataFrame:
     """One point per line item in the bodies' domain: pid, x, y, z."""
     li = table(spark, sf, "lineitem")
-    return li.select(
+    return fan_out(li).select(
         F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("pid"),
         (F.col("l_extendedprice") / 1000).alias("x"), ((F.col("l_partkey") % 100) + F.col("l_quantity") / 64).alias("y"),
         (F.col("l_orderkey") / 100 + F.col("l_linenumber") / 512).alias("z"))
@@ -224,7 +225,7 @@ def probe_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def customer_points(spark: SparkSession, sf: str) -> DataFrame:
     """One point per customer: qid, x, y, z in [0, 100]^3."""
-    c = table(spark, sf, "customer")
+    c = fan_out(table(spark, sf, "customer"))
     return c.select(F.col("c_custkey").alias("qid"), (F.col("c_acctbal") / 100).alias("x"),
                     ((F.col("c_custkey") * 7 % 97) + F.col("c_nationkey") / 32).alias("y"),
                     ((F.col("c_custkey") * 13 % 101) + F.col("c_nationkey") / 64).alias("z"))
@@ -236,7 +237,7 @@ CUSTOMERS_SQL = """pts AS (SELECT c_custkey AS qid, c_acctbal / 100 AS x, (c_cus
 
 def part_simplices(spark: SparkSession, sf: str) -> DataFrame:
     """A tetrahedron per part (corners ax..dz): its first three corners are a triangle, its first two a segment."""
-    p = table(spark, sf, "part")
+    p = fan_out(table(spark, sf, "part"))
     k = F.col("p_partkey")
     base = [(F.col("p_retailprice") - 900), (k * 31 % 103) / 1 + (k % 4) / 8, (k * 17 % 99) / 1 + (k % 5) / 16]
     ext = [F.lit(2.0) + (F.col("p_size") % 9) / 2, F.lit(2.0) + (k % 7) / 2, F.lit(2.0) + (k % 6) / 2]

@@ -8,7 +8,7 @@ from ..functions import stats
 from ..functions.rng import u01, u01_sql
 from ..functions.vec import vec
 from ..operators import placement, scene, tets
-from ..session import cut, q6 as r6
+from ..session import cut, fan_out, q6 as r6
 from . import derive as D
 from .derive import q6
 from .mesh_queries import unrolled_components
@@ -218,7 +218,7 @@ _ATTEMPTS = 4
 def _proposals(spark, sf):
     """Four poses per order in a domain whose height grows with the table."""
     o = table(spark, sf, "orders")
-    sizes = o.select(F.col("o_orderkey").alias("particle"), (F.lit(0.75) + (F.col("o_orderkey") % 9) / 8).alias("rad"))
+    sizes = fan_out(o).select(F.col("o_orderkey").alias("particle"), (F.lit(0.75) + (F.col("o_orderkey") % 9) / 8).alias("rad"))
     top = float(o.count()) / 20.0
     return placement.proposals(sizes, "particle", _ATTEMPTS, (2, 2, 2), (28, 28, 2 + top), 17)
 

@@ -38,6 +38,15 @@ def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def fan_out(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer splits than the cluster has cores.
+
+    Tables large enough to matter have more splits than that and pass through untouched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def q6(c: Column) -> Column:
     """Round to about 1e-6 for comparison with SQL; never negative zero.
 
