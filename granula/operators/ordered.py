@@ -57,6 +57,17 @@ def upper_middle(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         *group, F.col(value).alias("upper_middle"))
 
 
+def rank_quantiles(df: DataFrame, group: Sequence[str], value: str, names: Mapping[str, float]) -> DataFrame:
+    """Nearest-rank quantiles per group: the element at round((n - 1) p) of the sorted values."""
+    per_value = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
+    upto = running(per_value, group, [value], {"_upto": "_c"})
+    n = upto.groupBy(*group).agg(F.max("_upto").alias("_n"))
+    marked = upto.join(n, list(group))
+    at = {k: F.round((F.col("_n") - 1) * float(p)) for k, p in names.items()}
+    return marked.groupBy(*group).agg(*(
+        F.max(F.when((F.col("_upto") - F.col("_c") <= i) & (F.col("_upto") > i), F.col(value))).alias(k) for k, i in at.items()))
+
+
 def chains(df: DataFrame, group: Sequence[str], value: str, tol: float, name: str = "chain") -> DataFrame:
     """Number the runs of values whose neighbours lie within ``tol``; values are distinct per group.
 

@@ -92,6 +92,11 @@ def boundary_faces(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return f.filter("n = 1").drop("n")
 
 
+def volume_only(cells: DataFrame) -> DataFrame:
+    """The tetrahedra of a grid; surface, line and other cells are dropped, points keep their ids."""
+    return cells.filter(F.col("vtk_type") == TETRA)
+
+
 def wire_edges(faces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct edges of triangular faces."""
     pairs = [F.struct(F.col("face")[i].alias("lo"), F.col("face")[j].alias("hi")) for i, j in ((0, 1), (0, 2), (1, 2))]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "entity_id string, acceptance_index int, scale double, rotation struct<quaternion:array<double>,matrix:array<array<double>>>, "
     "translation array<double>, equivalent_diameter double, volume struct<full:double,in_domain:double,in_domain_solid:double>, "
     "clipped struct<any:boolean,faces:array<string>>, void_overlap_volume double, size_class int, triangle_range array<bigint>, "
