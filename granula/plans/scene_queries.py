@@ -299,3 +299,27 @@ def surface_samples(spark, sf):
     j = upto.join(total, "part").withColumn("goal", u01(9, "pick", who) * F.col("total")).filter((F.col("upto") > F.col("goal")) & (F.col("upto") - F.col("area") <= F.col("goal")))
     j = j.withColumn("s", F.when(fold, 1 - s0).otherwise(s0)).withColumn("t", F.when(fold, 1 - t0).otherwise(t0))
     return j.select("part", *(r6(F.col("a" + k) + F.col("s") * (F.col("b" + k) - F.col("a" + k)) + F.col("t") * (F.col("c" + k) - F.col("a" + k))).alias(k) for k in AXES))
+
+
+@query("mesh_packing")
+def mesh_packing(spark, sf):
+    """Random packing of real meshes: shapes from suppliers, one particle per order, exact contact tests."""
+    from .jobs import pack, shape_library
+
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    b = s.select(k.alias("part"), k.alias("mesh_id"), (k % 2).cast("int").alias("kind"), *(F.lit(0.0).alias("c" + a) for a in AXES),
+                 (1 + (k % 3) / 4).alias("hx"), (1 + (k % 4) / 8).alias("hy"), (1 + (k % 5) / 8).alias("hz"))
+    t = D.triangles(b)
+    flip = F.col("fid") % 16 < 12
+    solid = t.join(b.select("part", "kind"), "part")
+    # Boxes are wound inward; the library wants outward shells.
+    swap = flip & (F.col("kind") == 0)
+    cols = {"b": "c", "c": "b"}
+    solid = solid.select("mesh_id", "part", "fid", "ia", *(F.when(swap, F.col("i" + cols[p])).otherwise(F.col("i" + p)).alias("i" + p) for p in "bc"), *(F.col("a" + x) for x in AXES),
+                         *(F.when(swap, F.col(cols[p] + x)).otherwise(F.col(p + x)).alias(p + x) for p in "bc" for x in AXES))
+    shapes, tri = shape_library(solid)
+    o = fan_out(table(spark, sf, "orders"))
+    sizes = o.select(F.col("o_orderkey").alias("particle"), (F.lit(1.5) + (F.col("o_orderkey") % 9) / 8).alias("diameter"))
+    top = float(o.count()) / 20.0
+    return pack(shapes, tri, sizes, (0, 0, 0), (30, 30, top + 4), 29, attempts=2).select("entity_id", "particle", "attempt", "shape", r6(F.col("volume")).alias("volume"))
