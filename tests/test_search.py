@@ -78,8 +78,9 @@ def test_locate_inside_near_and_far(spark):
     assert rows[2]["donor"] == -1 and np.isnan(rows[2]["distance"])
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_packing_equals_the_sequential_scan(spark, parts):
+@pytest.mark.parametrize("parts,tail", [(1, 0), (5, 0), (5, 20), (5, 10_000)])
+def test_packing_equals_the_sequential_scan(spark, monkeypatch, parts, tail):
+    monkeypatch.setattr(placement, "TAIL", tail)
     r = np.random.default_rng(8)
     n = 90
     df = pd.DataFrame({"particle": np.arange(n) // 3, "order": np.arange(n), "rad": r.uniform(0.5, 1.2, n)})
