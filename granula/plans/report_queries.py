@@ -11,6 +11,7 @@ from ..operators.population import size_classes
 from ..session import cut, q6 as r6
 from . import derive as D
 from .derive import q6
+from .population_queries import _erfc
 from .registry import query, table
 
 _HISTO = [(0.0, 50.0, 0.30), (50.0, 100.0, 0.40), (100.0, 200.0, 0.25), (200.0, 500.0, 0.05)]
@@ -98,7 +99,12 @@ def shading(spark, sf):
     return table(spark, sf, "part").select("p_partkey", r6(scene.shade(F.abs(F.sin("p_size")), 0.25)).alias("light"))
 
 
-@query("lognormal_class_shares", None)
+_Z = lambda x: "0.5 * " + _erfc(f"(-((ln({x}) - mu) / sg) / sqrt(2))")
+
+
+@query("lognormal_class_shares", f"""WITH o AS (SELECT avg(ln(o_totalprice)) AS mu, stddev_pop(ln(o_totalprice)) AS sg, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+ c AS (SELECT *, unnest(range(8)) AS class FROM o), e AS (SELECT class, mu, sg, lo, hi, lo + (hi - lo) * class / 8 AS l, lo + (hi - lo) * (class + 1) / 8 AS r FROM c)
+ SELECT CAST(class AS INT) AS class, {q6(f"(({_Z('r')}) - ({_Z('l')})) / (({_Z('hi')}) - ({_Z('lo')}))")} AS share FROM e""")
 def lognormal_class_shares(spark, sf):
     """Expected share of each size class under the lognormal fitted to order totals."""
     o = table(spark, sf, "orders").agg(F.avg(F.ln("o_totalprice")).alias("mu"), F.stddev_pop(F.ln("o_totalprice")).alias("sg"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))

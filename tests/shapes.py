@@ -1,4 +1,4 @@
-"""Reference meshes for the tests: boxes and icospheres as pandas ``tri`` tables."""
+"""Meshes for the tests: boxes and icospheres as pandas ``tri`` tables."""
 
 import itertools
 
