@@ -41,7 +41,7 @@ def keep(df: DataFrame, *by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/granula-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
