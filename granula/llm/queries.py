@@ -1,4 +1,4 @@
 """Loads every query module of the subpackage."""
 
-from . import bpe, mixing, quality, token_counts, topk  # noqa: F401
+from . import bpe, lines, mixing, quality, token_counts, topk  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
