@@ -33,16 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, *by: str) -> DataFrame:
+def keep(df: DataFrame, *by: str, bucketed: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` into the shared checkpoint folder, split by the columns ``by``, and read it back.
 
     The table cuts lineage: a lost executor costs tasks of the step at hand, and what one
-    attempt of a task wrote (chunk numbers, say) is what every later step sees.
+    attempt of a task wrote (chunk numbers, say) is what every later step sees. ``bucketed``
+    (column, number) lets later groupings by that column read the table without a shuffle.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/granula-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"granula_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    write = df.write.option("compression", "zstd")
+    write = write.partitionBy(*by) if by else write
+    if not bucketed:
+        write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    write.bucketBy(bucketed[1], bucketed[0]).option("path", path).saveAsTable(name)
+    return spark.table(name).select(*df.columns)  # the catalog entry stays while results are read
 
 
 def fresh(name: str, df: DataFrame) -> str:

@@ -16,6 +16,7 @@ stay rows of their own; other columns pass through.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import zlib
@@ -29,6 +30,9 @@ from . import cells
 from .base import fresh, partitions, query, table
 from .token_counts import tokenizer
 
+#: Ranks at which a word falls into the next tier of frequency.
+TIERS = np.array([256, 4_096, 65_536])
+HEAD = 4 * (len(TIERS) + 1)
 OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
 
@@ -46,6 +50,15 @@ def check_word_split(name: str) -> None:
         raise ValueError(f"{name}: its special strings reach across words")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with their bytes of a kind together: compresses better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate flat[start:start + length] of all rows."""
     ends = np.cumsum(lengths)
@@ -69,46 +82,67 @@ def bpe(docs: DataFrame, name: str, outputs: list[str], text: str = "text", carr
             lengths.append(len(found))
         known = np.array([*index, b""], object)[:-1]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in index), np.int32, len(index))
-        order = np.argsort(bucket, kind="stable")
+        at = np.cumsum([0, *lengths])
+        every = np.concatenate(flat) if at[-1] else np.empty(0, np.int32)
+        # frequent words get small positions (better compression): by tier of frequency, bucket, word
+        rank = np.empty(len(known), np.int64)
+        rank[np.argsort(-np.bincount(every, minlength=len(known)), kind="stable")] = np.arange(len(known))
+        tier = np.searchsorted(TIERS, rank, side="right")
+        sorted_words = np.argsort(known, kind="stable")
+        order = sorted_words[np.lexsort((bucket[sorted_words], tier[sorted_words]))]
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        ends = np.searchsorted(bucket[order], np.arange(buckets), side="right")
-        asked = [(b, cells.zip_bytes(b"\n".join(known[order[a:e]]))) for b, (a, e) in enumerate(zip([0, *ends], ends)) if e > a]
+        by_bucket = np.lexsort((place, bucket))  # a bucket's words, tier after tier
+        ends = np.searchsorted(bucket[by_bucket], np.arange(buckets), side="right")
+        asked = []
+        for b, (a, e) in enumerate(zip([0, *ends], ends)):
+            if e > a:
+                own = by_bucket[a:e]
+                asked.append((b, cells.zip_bytes(np.bincount(tier[own], minlength=len(TIERS) + 1).astype("<u4").tobytes() + b"\n".join(known[own]))))
         at = np.cumsum([0, *lengths])
-        seq = place[np.concatenate(flat)] if at[-1] else np.empty(0, np.int32)
-        planes = seq.view(np.uint8).reshape(-1, 4).T  # bytes of a kind together
-        kept = rows.select(carry).append_column(column, pa.array([planes[:, a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()))
-        return kept, asked
+        seq = place[every] if len(every) else every
+        kept = rows.select(carry).append_column(column, pa.array(lengths, pa.int64()))
+        return kept.replace_schema_metadata({"words": base64.b64encode(cells.zip_bytes(planes(seq)))}), asked
 
     def reply(asked: list[bytes]) -> list[bytes]:
-        lists = [cells.unzip_bytes(d).split(b"\n") for d in asked]
-        ids: dict[bytes, list[int]] = dict.fromkeys(w for one in lists for w in one)
+        heads, lists = zip(*((d[:HEAD], d[HEAD:].split(b"\n")) for d in map(cells.unzip_bytes, asked)))
+        ids: dict[bytes, np.ndarray] = dict.fromkeys(w for one in lists for w in one)
         tok, new = tokenizer(name), list(ids)
         for i in range(0, len(new), 5_000):
             part = new[i:i + 5_000]
-            ids.update(zip(part, (e.ids for e in tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
+            ids.update(zip(part, (np.array(e.ids, "<u4") for e in tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
         out = []
-        for one in lists:
+        for head, one in zip(heads, lists):
             got = [ids[w] for w in one]
-            out.append(cells.to_stream(pa.table({"ids": pa.array(got, pa.list_(pa.uint32()))})))
+            out.append(cells.zip_bytes(head + planes(np.fromiter(map(len, got), "<u4", len(got))) + planes(np.concatenate(got))))
         return out
 
     def finish(rows: pa.Table, got: list[dict[int, bytes]], _chunk: int) -> pa.Table:
-        lists = [cells.from_stream(got[0][b])["ids"].combine_chunks() for b in sorted(got[0])]
-        lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]) if lists else np.empty(0, np.int64)
-        flat = np.concatenate([x.flatten().to_numpy() for x in lists]).astype("<u4") if lists else np.empty(0, "<u4")
+        parts = []  # (tier, bucket, lengths, ids)
+        for b, data in got[0].items():
+            data = cells.unzip_bytes(data)
+            tiers = np.frombuffer(data[:HEAD], "<u4").astype(np.int64)
+            n = int(tiers.sum())
+            length = unplanes(data[HEAD:HEAD + 4 * n]).astype(np.int64)
+            ids, ends, at = unplanes(data[HEAD + 4 * n:]), np.cumsum([0, *length]), np.cumsum([0, *tiers])
+            parts += [(t, b, length[x:y], ids[ends[x]:ends[y]]) for t, (x, y) in enumerate(zip(at, at[1:])) if y > x]
+        parts.sort(key=lambda p: p[:2])
+        lengths = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
+        flat = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, "<u4")
         starts = np.cumsum(lengths) - lengths
+        every = unplanes(cells.unzip_bytes(base64.b64decode(rows.schema.metadata[b"words"]))).astype(np.int64)
+        upto = np.cumsum([0, *rows[column].to_pylist()])
         piece = pieces(name) if {"decoded", "decoded_sha256"} & set(outputs) else None
         out: dict[str, list] = {o: [] for o in outputs}
-        for w in rows[column].to_pylist():
-            seq = np.ascontiguousarray(np.frombuffer(w, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        for a, e in zip(upto, upto[1:]):
+            seq = every[a:e]
             ids = ragged(flat, starts[seq], lengths[seq])
             decoded = " ".join(piece[ids]) if piece is not None else ""
             for o, value in (("n_tokens", lambda: len(ids)), ("ids", lambda: ids), ("decoded", lambda: decoded),
                              ("ids_sha256", lambda: hashlib.sha256(ids.tobytes()).hexdigest()), ("decoded_sha256", lambda: hashlib.sha256(decoded.encode()).hexdigest())):
                 if o in out:
                     out[o].append(value())
-        kept = rows.drop_columns([column])
+        kept = rows.drop_columns([column]).replace_schema_metadata(None)
         for o in outputs:
             kept = kept.append_column(o, pa.array(out[o], {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}.get(o, pa.string())))
         return kept
