@@ -22,6 +22,9 @@ only where all are null); columns named like the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,9 +43,11 @@ SHINGLE, PERCENT = 5, 75
 CHUNK = 8_000_000
 PART = 4_096
 ROUNDS = 2
+SMALL = 32
 RESULTS = ["n_shingles", "component_id"]
 EDGES = "u string, v string"
-NODES = "node string, n int, set binary, tokens array<long>"
+NODES = "chunk long, node string, n int, vector binary, tokens array<long>, places array<int>"
+SETS = "node string, set binary"
 
 
 def shingle_sets(texts: list, k: int = SHINGLE) -> list[np.ndarray]:
@@ -80,12 +85,32 @@ def size_class(n):
     return F.log(n.cast("double")) / float(np.log(4 / 3))
 
 
-def linked(group: pa.Table, percent: int) -> pa.Table:
+def groups_of(table: pa.Table, by: list[str]) -> Iterator[np.ndarray]:
+    """Rows of each group of two rows or more."""
+    keys = [table[c].to_numpy() for c in by]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    starts = np.flatnonzero(new)
+    for a, e in zip(starts, [*starts[1:], len(order)]):
+        if e - a > 1:
+            yield order[a:e]
+
+
+def in_buckets(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Many groups share a call: groups keyed by ``by`` are hashed into buckets."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(4 * partitions(rows.sparkSession)))).groupBy("bucket")
+
+
+def edge_table(found: list[tuple[str, str]]) -> pa.Table:
+    u, v = zip(*found) if found else ((), ())
+    return pa.table({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())})
+
+
+def linked(names: list[str], sets: list[np.ndarray], percent: int) -> list[tuple[str, str]]:
     """Spanning links of the nodes that meet in one place."""
-    first = {x: i for i, x in reversed(list(enumerate(group["node"].to_pylist())))}  # a copy may come from several chunks
-    names, at = list(first), list(first.values())
-    column = group["set"]
-    sets = [np.frombuffer(column[i].as_buffer(), "<u8") for i in at]
     sizes = np.array([len(s) for s in sets], np.int64)
     forest, found = Forest(len(names)), []
 
@@ -100,83 +125,115 @@ def linked(group: pa.Table, percent: int) -> pa.Table:
                 if enough(min(sizes[i], sizes[j]), sizes[i] + sizes[j], percent):
                     check(i, j)
     else:
-        groups = min(4_096, 4 * group_count(int(sizes.min())))
+        groups = min(4_096, 2 * group_count(int(sizes.min())))
         points = np.array([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets], np.int32)
         for i, j in RTree(points, sizes).pairs(percent, forest.labels):
             for x, y in zip(i.tolist(), j.tolist()):
                 check(x, y)
-    u, v = zip(*found) if found else ((), ())
-    return pa.table({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())})
-
+    return found
 
-def dealt(rows: DataFrame, by: list[str], part: int, salt: int) -> DataFrame:
-    """Deal the nodes of groups larger than ``part`` into parts, by a hash that ``salt`` changes."""
-    large = keep(rows.groupBy(*by).count().filter(F.col("count") > part))
-    parts = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / part)
-    return rows.join(large, by, "left").withColumn("parts", parts.cast("long")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts"))).drop("count")
 
-
-def round_links(nodes: DataFrame, number: int, percent: int, part: int) -> DataFrame:
-    """Links among nodes that meet at their ``number``-th repeated shingle and are of one size class."""
+def meetings(nodes: DataFrame, number: int, part: int) -> DataFrame:
+    """Where several nodes of one size class meet at their ``number``-th repeated shingle."""
     by = ["token", "class"]
-    own = nodes.filter(F.size("tokens") > number).select(F.col("tokens")[number].alias("token"), F.floor(size_class(F.col("n"))).alias("class"), "node", "set")
-    several = own.groupBy(*by).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("count")).filter("a <> b")
+    own = nodes.filter(F.size("tokens") > number).select(F.col("tokens")[number].alias("token"), F.floor(size_class(F.col("n"))).alias("class"), "node", "chunk")
+    several = own.groupBy(*by).agg(F.count("*").alias("count")).filter("count > 1")
     several = keep(several.select(*by, F.ceil(F.col("count") / part).alias("parts")))
-    met = own.join(several, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts")))
-    return met.select(*by, "part", "node", "set").groupBy(*by, "part").applyInArrow(lambda g: linked(g, percent), EDGES)
+    return keep(own.join(several, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts"))).drop("parts"))
+
+
+def round_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes that meet, by their sets."""
+    by = ["token", "class", "part"]
+
+    def run(bucket: pa.Table) -> pa.Table:
+        names, column, found = bucket["node"].to_pylist(), bucket["set"], []
+        for rows in groups_of(bucket, by):
+            found += linked([names[i] for i in rows], [np.frombuffer(column[int(i)].as_buffer(), "<u8") for i in rows], percent)
+        return edge_table(found)
+
+    return in_buckets(met.join(sets, "node").select(*by, "node", "set"), by).applyInArrow(run, EDGES)
+
+
+def bounds(raw: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Most that the sets of i and j can share, pair by pair, at the coarser of their two grids."""
+    groups = np.array([len(r) for r in raw])
+    out, common = np.zeros(len(i), np.int64), np.minimum(groups[i], groups[j])
+    for g in np.unique(common).tolist():
+        own = np.flatnonzero(common == g)
+        step = max(64, 4_000_000 // g)
+        for a in range(0, len(own), step):
+            part = own[a:a + step]
+            used, at = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+            m = np.array([fold(raw[k], g) for k in used])
+            out[part] = np.minimum(m[at[:len(part)]], m[at[len(part):]]).sum(1)
+    return out
 
 
 def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int) -> DataFrame:
     """Pairs of different components that share a leading shingle and whose bound suffices."""
-    vectors = "node string, n int, vector binary, token long"
-
-    def points(batches):
-        for batch in batches:
-            sets, tokens = batch.column("set"), batch.column("tokens").to_pylist()
-            rows = []
-            for i, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n").to_pylist())):
-                c = count_vector(np.frombuffer(sets[i].as_buffer(), "<u8"), group_count(n)).tobytes()
-                rows += [(node, n, c, t) for t in tokens[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 4, (pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["node", "n", "vector", "token"])
-
-    postings = nodes.select("node", F.explode("tokens").alias("token")).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = keep(postings.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token"))
-    open_ = keep(postings.join(mixed, "token").select("node", "component", "token").distinct())
-    wanted = keep(open_.groupBy("node", "component").agg(F.collect_list("token").alias("open")))  # at most a quarter of the node's own shingles
-    kept = nodes.join(wanted, "node").dropDuplicates(["node"]).select("node", "n", "set", F.col("open").alias("tokens"))
-    light = kept.mapInArrow(points, vectors).join(wanted.select("node", "component"), "node")
-    x = size_class(F.col("n"))
-    placed = light.withColumn("home", F.floor(x)).withColumn("class", F.explode(F.sequence(F.floor(x), F.floor(x + (1 + 1e-9)))))
     by = ["token", "class"]
-    split = dealt(keep(placed), by, part, 0)
-    blocks = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-
-    def bounded(group: pa.Table) -> pa.Table:
-        n = np.array(group["n"].to_pylist(), np.int64)
-        across = group["low"][0].as_py() != group["high"][0].as_py()
-        home = np.array(group["home"].to_pylist()) == group["class"][0].as_py()
-        block = np.array(group["part"].to_pylist())
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["vector"]]
-        groups = min(map(len, raw))
-        tree = RTree(np.array([fold(c, groups) for c in raw]), n)
-        names = np.array(group["node"].to_pylist(), object)
-        labels = np.unique(np.array(group["component"].to_pylist(), object).astype(str), return_inverse=True)[1]
-        out = []
-        for i, j in tree.pairs(percent, lambda: labels):
-            good = (home[i] | home[j]) & ((block[i] != block[j]) | (not across))
-            out += zip(names[i[good]], names[j[good]])
-        u, v = zip(*((min(p), max(p)) for p in out)) if out else ((), ())
-        return pa.table({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())})
-
-    return blocks.groupBy(*by, "low", "high").applyInArrow(bounded, EDGES).distinct()
-
-
-def checked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    x = size_class(F.col("n"))
+    postings = nodes.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("node", "n", F.col("t.tokens").alias("token"), (F.col("n") - F.col("t.places")).alias("rest")).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = keep(postings.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token"))
+    placed = keep(postings.join(mixed, "token").distinct().withColumn("home", F.floor(x)).withColumn("class", F.explode(F.sequence(F.floor(x), F.floor(x + (1 + 1e-9))))))
+    # places where different components of like size still meet, in blocks where they are large
+    met = placed.groupBy(*by).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("count"), F.count_if(F.col("home") == F.col("class")).alias("own"))
+    met = keep(met.filter("a <> b AND own > 0").select(*by, F.ceil(F.col("count") / part).alias("parts")))
+    blocks = placed.join(met, by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "parts")
+    place = F.pmod(F.xxhash64(*by, "low", "high"), F.lit(4 * partitions(nodes.sparkSession)))
+    blocks = keep(blocks.withColumn("bucket", place))
+    # in a bucket every node has one vector, however many of its shingles lie there
+    needed = keep(blocks.select("bucket", "node").distinct().join(nodes.select("node", "vector"), "node"))
+
+    def run(postings: pa.Table, points: pa.Table) -> pa.Table:
+        position = {x: i for i, x in enumerate(points["node"].to_pylist())}
+        names = np.array(points["node"].to_pylist(), object)
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in points["vector"]]
+        at = np.array([position[x] for x in postings["node"].to_pylist()], np.int64)
+        n, label = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        n[at] = postings["n"].to_numpy()
+        label[at] = np.unique(np.array(postings["component"].to_pylist(), object).astype(str), return_inverse=True)[1]
+        home = postings["home"].to_numpy() == postings["class"].to_numpy()
+        rest = postings["rest"].to_numpy().astype(np.int64)  # shingles from this one on: where it is the first shared one, no more can be shared
+        block, across = postings["part"].to_numpy(), postings["low"].to_numpy() != postings["high"].to_numpy()
+        found = [np.empty((0, 2), np.int64)]
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            """Keep pairs of postings that may link: enough left to share from here on, of two components, one at home, of two blocks where blocks meet."""
+            a, b = at[i], at[j]
+            good = (label[a] != label[b]) & (home[i] | home[j]) & ((block[i] != block[j]) | ~across[i]) & enough(np.minimum(rest[i], rest[j]), n[a] + n[b], percent)
+            found.append(np.unique(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good]], 1), axis=0))
+
+        i_s, j_s, held = [], [], 0
+        for rows in groups_of(postings, [*by, "low", "high"]):
+            if len(rows) <= SMALL:
+                i, j = np.triu_indices(len(rows), 1)
+                i_s.append(rows[i])
+                j_s.append(rows[j])
+                held += len(i)
+                if held > 1_000_000:
+                    add(np.concatenate(i_s), np.concatenate(j_s))
+                    i_s, j_s, held = [], [], 0
+            else:
+                own = [raw[k] for k in at[rows]]
+                least = min(map(len, own))
+                labels = label[at[rows]]
+                for i, j in RTree(np.array([fold(r, least) for r in own]), n[at[rows]]).pairs(percent, lambda: labels):
+                    add(rows[i], rows[j])
+        if i_s:
+            add(np.concatenate(i_s), np.concatenate(j_s))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        i, j = pairs[:, 0], pairs[:, 1]
+        good = enough(bounds(raw, i, j), n[i] + n[j], percent)
+        return edge_table([(min(p), max(p)) for p in zip(names[i[good]], names[j[good]])])
+
+    return blocks.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(run, EDGES).distinct()
+
+
+def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that overlap enough, by exact intersection of their sets."""
-    pairs = keep(pairs)
-    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = keep(nodes.select("node", "set").join(asked, "node").dropDuplicates(["node"]))
 
     def test(batches):
         for batch in batches:
@@ -208,16 +265,17 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         kept = rows.append_column("n_shingles", pa.array([len(s) for s in sets], pa.int64())).append_column(name, pa.array(names, pa.string()))
         return kept, cells.ask_hashes(every, buckets)[1]
 
-    def open_nodes(rows: pa.Table, got: list[dict[int, bytes]], _number: int) -> pa.Table:
+    def open_nodes(rows: pa.Table, got: list[dict[int, bytes]], number: int) -> pa.Table:
         first = {x: i for i, x in reversed(list(enumerate(rows[name].to_pylist()))) if x}
         sets = dict(zip(first, shingle_sets([rows[text][i].as_py() for i in first.values()])))
         own = {x: leading(s, percent) for x, s in sets.items()}
         keys = np.unique(np.concatenate(list(own.values()))) if own else np.empty(0, np.uint64)
         bits = cells.read_bits(keys, got[0], buckets)
-        tokens = {x: t[bits[np.searchsorted(keys, t)]].astype(np.int64) for x, t in own.items()}
-        use = [x for x, t in tokens.items() if len(t)]
-        return pa.table({"node": pa.array(use, pa.string()), "n": pa.array([len(sets[x]) for x in use], pa.int32()), "set": pa.array([sets[x].astype("<u8").tobytes() for x in use], pa.binary()),
-                         "tokens": pa.array([tokens[x] for x in use], pa.list_(pa.int64()))})
+        places = {x: np.flatnonzero(bits[np.searchsorted(keys, t)]) for x, t in own.items()}
+        use = [x for x, at in places.items() if len(at)]
+        points = [count_vector(sets[x], group_count(len(sets[x]))).tobytes() for x in use]
+        return pa.table({"chunk": pa.array([number] * len(use), pa.int64()), "node": pa.array(use, pa.string()), "n": pa.array([len(sets[x]) for x in use], pa.int32()), "vector": pa.array(points, pa.binary()),
+                         "tokens": pa.array([own[x][places[x]].astype(np.int64) for x in use], pa.list_(pa.int64())), "places": pa.array([places[x] for x in use], pa.list_(pa.int32()))})
 
     def unpacked(batches):
         for batch in batches:
@@ -225,12 +283,29 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
                 yield from cells.from_stream(data.as_buffer()).select([*carry, "n_shingles", name, *([] if key in carry else [key])]).to_batches()
 
     stored, asked = cells.split(docs, ask, CHUNK)
-    nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES))
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Sets of some nodes (chunk, node), computed again where their chunk lies."""
+        names = F.encode(F.array_join(F.array_sort(F.collect_set("node")), ","), "UTF-8")  # no more than the chunk holds
+        lists = wanted.groupBy("chunk").agg(names.alias("data")).select("chunk", F.lit(0).alias("bucket"), "data", F.lit(1).alias("kind"))
+
+        def finish(rows: pa.Table, got: list[dict[int, bytes]], _number: int) -> pa.Table:
+            names = set(got[0][0].decode().split(",")) if got[0] else set()
+            first = {x: i for i, x in reversed(list(enumerate(rows[name].to_pylist()))) if x in names}
+            sets = shingle_sets([rows[text][i].as_py() for i in first.values()])
+            return pa.table({"node": pa.array(list(first), pa.string()), "set": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+
+        return keep(cells.meet(stored, [lists], finish, SETS))
+
+    nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES).dropDuplicates(["node"]))
     edges = docs.sparkSession.createDataFrame([], EDGES)
-    for number in range(rounds):
-        edges = edges.unionByName(keep(round_links(nodes, number, percent, part)))
+    met = [meetings(nodes, number, part) for number in range(rounds)]
+    if met:
+        sets = sets_of(reduce(DataFrame.unionByName, met).select("chunk", "node"))
+        edges = reduce(DataFrame.unionByName, [keep(round_links(m, sets, percent)) for m in met])
     components = keep(connected_components(edges))
-    edges = edges.unionByName(keep(checked(rest_pairs(nodes, components, percent, part), nodes, percent)))
+    pairs = keep(rest_pairs(nodes, components, percent, part))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = edges.unionByName(keep(checked(pairs, sets_of(nodes.join(ends, "node").select("chunk", "node")), percent)))
     components = keep(connected_components(edges))
 
     columns = [*carry, *([] if key in carry else [key])]

@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-LEAF = 16
+LEAF = 48
 FANOUT = 8
 
 
 def group_count(n: int) -> int:
-    """Groups for a set of ``n`` tokens: about four tokens each."""
-    return 1 << max(3, (max(n, 1) // 4 - 1).bit_length() if n > 4 else 3)
+    """Groups for a set of ``n`` tokens: one or two tokens each."""
+    return 1 << max(3, (n // 2).bit_length())
 
 
 def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def enough(shared, sizes, percent: int):
 
 class RTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+        self.points, self.sizes = points.astype(np.uint8 if points.max(initial=0) < 256 else np.int32), sizes
         self.leaves = self._split(np.arange(len(sizes)))
         top = [points[x].max(0) for x in self.leaves]
         least = [sizes[x].min() for x in self.leaves]
@@ -59,7 +59,7 @@ class RTree:
             if len(own) <= LEAF:
                 out.append(own)
                 continue
-            p = self.points[own]
+            p = self.points[own].astype(np.int32)
             axis = int(np.argmax(np.ptp(p, axis=0)))
             value = self.sizes[own] if np.ptp(self.sizes[own]) > 4 * np.ptp(p[:, axis]) else p[:, axis]
             order = np.argsort(value, kind="stable")
@@ -73,7 +73,7 @@ class RTree:
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             box, low = self.levels[depth]
-            at = at[enough(np.minimum(box[at], top).sum(1), low[at] + least, percent)]
+            at = at[enough(np.minimum(box[at], top).sum(1, dtype=np.int64), low[at] + least, percent)]
             if depth:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
@@ -91,13 +91,11 @@ class RTree:
                     differ = np.triu(differ, 1)
                 if not differ.any():
                     continue
-                i, j = np.nonzero(differ)
-                i, j = own[i], with_[j]
-                bound = np.minimum(self.points[i], self.points[j]).sum(1)
-                good = enough(bound, self.sizes[i] + self.sizes[j], percent)
-                if good.any():
-                    order = np.argsort(-bound[good], kind="stable")
-                    yield i[good][order], j[good][order]
+                bound = np.minimum(self.points[own][:, None, :], self.points[with_][None, :, :]).sum(2, dtype=np.int32)
+                i, j = np.nonzero(differ & enough(bound, self.sizes[own][:, None] + self.sizes[with_][None, :], percent))
+                if len(i):
+                    order = np.argsort(-bound[i, j], kind="stable")
+                    yield own[i[order]], with_[j[order]]
 
 
 class Forest:
