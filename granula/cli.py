@@ -79,12 +79,15 @@ def measure(spark, cfg):
 
 def split_filter(spark, cfg):
     f = cfg.get("filter") or {}
+    f = f if f.get("enabled", True) else {}
     v = f.get("volume") or {}
     mode = v.get("mode", "none")
+    if mode not in ("none", "range", "lognormal_rebalance"):
+        raise ConfigError(f"unknown volume mode {mode!r}")
     tri = read_mesh(spark, resolve(cfg, cfg["input"]["path"]))
     kept, report = jobs.split_filter(
         tri, f.get("max_aspect_ratio"), f.get("max_sharpness_ratio"), (v.get("min", -1), v.get("max", -1)) if mode == "range" else None,
-        {"bins": v.get("bins", 12), "over_factor": v.get("over_factor", 1.25)} if mode == "lognormal_rebalance" else None)
+        {"bins": v.get("bins", 12), "over_factor": v.get("over_factor", 1.25), "seed": int(v.get("seed", 0))} if mode == "lognormal_rebalance" else None)
     lab = tri.join(meshes.face_shells(tri, ["mesh_id"]), ["mesh_id", "fid"]).join(kept.select("mesh_id", "shell"), ["mesh_id", "shell"], "left_semi")
     write_mesh(lab, resolve(cfg, cfg["output"]["folder"]))
     reports.write_json(resolve(cfg, cfg["output"].get("report_path", "split_filter_report.json")), [r.asDict() for r in report.orderBy("step").collect()])
@@ -141,6 +144,12 @@ def _points(spark, cfg, key):
 def _corners(spark, cfg, cells, points, names, id_name):
     """Wide rows with corner coordinates from index and vertex arrays."""
     out = _array(spark, cfg, cells, "index").select(F.col("row").alias(id_name), *(F.col("values")[i].alias("i" + p) for i, p in enumerate(names)))
+    size = _array(spark, cfg, points).agg(F.count("*").alias("n"), F.count_if(F.exists("values", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("bad")).first()
+    if size["bad"]:
+        raise ConfigError(f"{points}: {size['bad']} rows hold a coordinate that is not finite")
+    wrong = out.filter(F.greatest(*("i" + p for p in names)) >= size["n"]).unionByName(out.filter(F.least(*("i" + p for p in names)) < 0)).count()
+    if wrong:
+        raise ConfigError(f"{cells}: {wrong} rows name a vertex outside {points}")
     for p in names:
         v = _points(spark, cfg, points).select(F.col("qid").alias("i" + p), *(F.col(k).alias(p + k) for k in "xyz"))
         out = out.join(v, "i" + p)

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is one grouped minimum (combined map-side) and one equi-join, so a hub
-node is never gathered into one place, and the number of steps grows with the
-logarithm of the graph, not with its diameter. Each step is written to the
+Every step is one grouped minimum (combined map-side) and one equi-join whose sides
+are both plain shuffles: adaptive execution splits the rows of a hub over tasks. The number of
+steps grows with the logarithm of the graph, not with its diameter. Each step is written to the
 shared checkpoint folder: lineage stays short and a lost executor costs one step.
 """
 
@@ -22,7 +22,8 @@ def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     else:
         nbr = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = nbr.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    linked = nbr.join(low, [*keys, "u"])
+    # Written out, so that both sides of the join are plain shuffles and Spark can split a hub's rows.
+    linked = nbr.join(cut(low), [*keys, "u"])
     if large:
         out = linked.filter(F.col("v") > F.col("u")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -68,21 +68,21 @@ def pair_hits(occ: DataFrame, vol: str, r_max: int, pitch: float = 1.0) -> DataF
     """Occupied pairs per offset: vol, dx, dy, dz, hits (half space of offsets, zero hits omitted)."""
     half = _half_space(r_max, pitch)
     depth = max(o[3] for o in half)
-    if depth > WORD:
-        raise ValueError(f"radius reaches {depth} voxels; the packed kernel handles {WORD}")
     columns = sorted({(o[1], o[2]) for o in half})
     bits = packed(occ, vol)
     own = F.col("bits").bitwiseAND(F.lit((1 << WORD) - 1))
     left = bits.filter(own != 0).select(
         vol, "w", own.alias("own"), "x", "y", F.explode(_rows(columns, ("dx", "dy"))).alias("o"))
-    left = left.select(vol, "w", "own", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"),
+    # dz = k words and a rest of fewer than WORD bits
+    left = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(depth // WORD))))
+    left = left.select(vol, (F.col("w") + F.col("k")).alias("w"), "k", "own", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"),
                        F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"))
     met = left.join(bits, [vol, "x", "y", "w"])
     sums = [F.sum(F.bit_count(F.col("own").bitwiseAND(F.shiftright(F.col("bits"), dz)))).alias(f"h{dz}")
-            for dz in range(depth + 1)]
-    per_column = met.groupBy(vol, "dx", "dy").agg(*sums)
-    long = per_column.select(vol, "dx", "dy", F.posexplode(F.array(*(F.col(f"h{dz}") for dz in range(depth + 1)))).alias("dz", "hits"))
-    return long.filter(F.col("hits") > 0)
+            for dz in range(min(depth + 1, WORD))]
+    per_column = met.groupBy(vol, "dx", "dy", "k").agg(*sums)
+    long = per_column.select(vol, "dx", "dy", "k", F.posexplode(F.array(*(F.col(f"h{dz}") for dz in range(min(depth + 1, WORD))))).alias("rest", "hits"))
+    return long.filter(F.col("hits") > 0).select(vol, "dx", "dy", (F.col("k") * WORD + F.col("rest")).alias("dz"), "hits")
 
 
 def s2_exact(occ: DataFrame, dims: DataFrame, vol: str, r_max: int, pitch: float = 1.0) -> DataFrame:

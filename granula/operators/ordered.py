@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+BLOCK_ROWS = 2_000_000
+
+
+def _blocks(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows written out (range partitioning reads them twice), and blocks enough that none outgrows a task."""
+    df = cut(df)
+    return df, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BLOCK_ROWS))
+
+
 def running(df: DataFrame, group: Sequence[str], order: Sequence, sums: Mapping[str, str],
             inclusive: bool = True) -> DataFrame:
     """Add running totals: ``sums`` maps each new column to the column it adds up.
@@ -22,7 +31,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence, sums: Mapping[
     ``order`` must be unique within a group. ``inclusive`` counts the row itself.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df, n = _blocks(df)
     blocks = cut(df.repartitionByRange(n, *(F.col(g) for g in group), *keys)
                  .withColumn("_block", F.spark_partition_id()))
     totals = blocks.groupBy(*group, "_block").agg(*(F.sum(src).alias("_t_" + dst) for dst, src in sums.items()))
@@ -73,7 +82,7 @@ def chains(df: DataFrame, group: Sequence[str], value: str, tol: float, name: st
 
     The value before the first row of a block is the largest of the blocks before it.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df, n = _blocks(df)
     blocks = cut(df.repartitionByRange(n, *(F.col(g) for g in group), F.col(value)).withColumn("_block", F.spark_partition_id()))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     heads = blocks.groupBy(*group, "_block").agg(F.max(value).alias("_max")).select(*group, "_block", F.max("_max").over(before).alias("_prev"))

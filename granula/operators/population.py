@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.rng import u01
 from ..functions.vec import div
 from .ordered import numbered, running
 
@@ -90,11 +91,11 @@ def histogram(df: DataFrame, value: str, bins: int, group: Sequence[str] = ()) -
         *group, "bin", (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("left"), "n")
 
 
-def lognormal_rebalance(df: DataFrame, value: str, order: Sequence, bins: int = 12, over_factor: float = 1.25) -> DataFrame:
+def lognormal_rebalance(df: DataFrame, value: str, ids: Sequence[str], bins: int = 12, over_factor: float = 1.25, seed: int = 0) -> DataFrame:
     """Thin over-full log-size bins to what a fitted lognormal expects; adds ``keep``.
 
-    Each of B equal bins of ln(value) keeps at most ceil(ceil(p n) * over) rows, in the
-    given order. Fewer than four positive values, or no spread, keep everything.
+    Each of B equal bins of ln(value) keeps at most ceil(ceil(p n) * over) rows, drawn at
+    random by ``seed`` and the whole-number ``ids``. Fewer than four positive values, or no spread, keep everything.
     """
     bins, over_factor = min(max(bins, 4), 64), max(over_factor, 1.0)
     lv = F.ln(F.col(value))
@@ -105,7 +106,7 @@ def lognormal_rebalance(df: DataFrame, value: str, order: Sequence, bins: int =
     mu, sigma = fit["mu"], max(fit["var"] ** 0.5, 1e-9)
     lo, width = fit["lo"], (fit["hi"] - fit["lo"]) / bins
     b = F.when(F.col(value) > 0, F.greatest(F.least(F.floor((lv - lo) / width), F.lit(bins - 1)), F.lit(0)).cast("int"))
-    ranked = numbered(df.withColumn("bin", b), ["bin"], order)
+    ranked = numbered(df.withColumn("bin", b).withColumn("_draw", u01(seed, "rebalance", *map(F.col, ids))), ["bin"], ["_draw", *ids]).drop("_draw")
     left = F.lit(lo) + F.col("bin") * width
     p = stats.normal_cdf_poly((left + width - mu) / sigma) - stats.normal_cdf_poly((left - mu) / sigma)
     expected = F.ceil(F.greatest(p, F.lit(0.0)) * fit["n"])

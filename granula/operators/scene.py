@@ -20,7 +20,6 @@ from .ordered import chains, numbered, running
 LINE, TRIANGLE, TETRA, VOXEL, HEXAHEDRON = 4, 5, 10, 11, 12
 TET_FACES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))
 VOXEL_FACES = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7), (0, 2, 4, 6), (1, 3, 5, 7))
-MAX_WIREFRAME_EDGES = 4_000_000
 STOP_TRANSMITTANCE = 1.0 / 512.0
 # View name -> (direction, up).
 VIEWS = {
@@ -103,8 +102,10 @@ def wire_edges(faces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return faces.select(*keys, F.explode(F.array(*pairs)).alias("e")).select(*keys, "e.*").distinct()
 
 
-def thin_edges(edges: DataFrame, cap: int = MAX_WIREFRAME_EDGES) -> DataFrame:
-    """Every ceil(n / cap)-th edge in sorted order; all of them when they fit."""
+def thin_edges(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Every ceil(n / cap)-th edge in sorted order; all of them when they fit, or without a cap."""
+    if cap is None:
+        return edges
     n = edges.count()
     if n <= cap:
         return edges

@@ -93,7 +93,7 @@ def _cdf(x):
 
 @query("lognormal_rebalance", f"""WITH f AS (SELECT count(*) AS n, avg(ln(o_totalprice)) AS mu, greatest(sqrt(var_pop(ln(o_totalprice))), 1e-9) AS sg, min(ln(o_totalprice)) AS lo, max(ln(o_totalprice)) AS hi FROM orders),
  b AS (SELECT o_orderkey, n, mu, sg, lo, (hi - lo) / 12 AS w, greatest(least(CAST(floor((ln(o_totalprice) - lo) / ((hi - lo) / 12)) AS INT), 11), 0) AS bin FROM orders, f),
- r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY o_orderkey) AS rk FROM b),
+ r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {u01_sql(0, "rebalance", "o_orderkey")}, o_orderkey) AS rk FROM b),
  a AS (SELECT *, ceil(ceil(greatest({_cdf('(lo + bin * w + w - mu) / sg')} - {_cdf('(lo + bin * w - mu) / sg')}, 0) * n) * 1.25) AS allowed FROM r)
  SELECT o_orderkey, bin, rk <= allowed AS keep FROM a""")
 def lognormal_rebalance(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +19,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="granula-ckpt-"))
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named:  # one machine: its own temporary folder will do
+        named = tempfile.mkdtemp(prefix="granula-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -39,12 +47,9 @@ def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def fan_out(scan: DataFrame) -> DataFrame:
-    """Spread a plain scan that has fewer splits than the cluster has cores.
-
-    Tables large enough to matter have more splits than that and pass through untouched.
-    """
+    """Spread a plain scan of fewer files than the cluster has cores; larger tables pass through untouched."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
 
 
 def q6(c: Column) -> Column:

@@ -88,8 +88,8 @@ def test_vtu_tables_and_validation(spark, tmp_path):
     (tmp_path / "g.vtu").write_text(text)
     read = lambda t: spark.read.format("vtu").options(path=str(tmp_path / "g.vtu"), table=t).load()
     cells = read("cells").orderBy("id").collect()
-    assert [(c["vtk_type"], list(c["nodes"]), c["attrs"]["region_key"]) for c in cells] == [(10, [0, 1, 2, 3], 3.0), (5, [0, 1, 2], -1.0)]
-    assert read("points").agg(F.sum(F.col("attrs")["t"])).first()[0] == 6 and read("field").first()["values"] == [4.0, 2.0]
+    assert [(c["vtk_type"], list(c["nodes"]), (c["attrs"].get("region_key") or c["ints"]["region_key"])[0]) for c in cells] == [(10, [0, 1, 2, 3], 3.0), (5, [0, 1, 2], -1.0)]
+    assert read("points").agg(F.sum(F.coalesce(F.col("attrs")["t"][0], F.col("ints")["t"][0].cast("double")))).first()[0] == 6 and read("field").first()["values"] == [4.0, 2.0]
     with pytest.raises(ValueError, match="outside the point list"):
         (tmp_path / "bad.vtu").write_text(vtu.document(pts, [[0, 1, 2, 9]], [10]))
         vtu.load(str(tmp_path / "bad.vtu"))
@@ -126,3 +126,60 @@ def test_streamed_coverage_equals_batch_and_resumes(spark, tmp_path):
     got = {(r["ix"], r["cover"]) for r in coverage.current(spark.read.parquet(out)).collect()}
     assert got == {(0, 1), (1, 1), (2, 1)}
     assert frame({1: box((0, 0, 0), (1, 1, 1))}).shape[0] == 12
+
+
+def _page(packing, predictor, body, w=4, h=1, bits=8):
+    tags = slices.TAGS
+    return {"endian": "<", tags["width"]: (w,), tags["height"]: (h,), tags["bits"]: (bits,), tags["compression"]: (packing,), tags["predictor"]: (predictor,), tags["strips"]: (0,), tags["counts"]: (len(body),)}
+
+
+def test_tiff_packings_and_predictor():
+    import zlib
+
+    body = zlib.compress(bytes([0, 5, 5, 251]))
+    assert slices.tiff_image(body, _page(8, 2, body)).tolist() == [[0, 5, 10, 5]]
+    with pytest.raises(ValueError):
+        slices.tiff_image(body, _page(8, 3, body))
+    body = bytes([254, 7, 0, 9])  # three sevens, one literal nine
+    assert slices.tiff_image(body, _page(32773, 1, body)).tolist() == [[7, 7, 7, 9]]
+    # Codes: clear, 7, 258 (7 7), 7, end
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 7, 257))
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert slices.tiff_image(body, _page(5, 1, body)).tolist() == [[7, 7, 7, 7]]
+
+
+def test_vtu_keeps_components_and_whole_numbers(spark, tmp_path):
+    from granula.sources import vtu
+
+    big = 2 ** 53 + 1
+    (tmp_path / "v.vtu").write_text(vtu.document(np.zeros((3, 3)), [[0, 1, 2]], [5], {"u": np.arange(9.0).reshape(3, 3), "id": np.array([1, 2, big])}))
+    rows = spark.read.format("vtu").options(path=str(tmp_path / "v.vtu"), table="points").load().orderBy("id").collect()
+    assert [r["attrs"]["u"] for r in rows] == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0], [6.0, 7.0, 8.0]]
+    assert rows[2]["ints"]["id"] == [big]
+
+
+def test_tiff_lzw_round_trip():
+    rng = np.random.default_rng(0)
+    data = bytes(rng.integers(0, 6, 60_000, np.uint8)) + bytes(rng.integers(0, 256, 20_000, np.uint8))
+    start = {bytes([i]): i for i in range(256)}
+    table, width, bits, held = None, 9, [f"{256:09b}"], b""
+    table = {**start, b"clear": 256, b"the end": 257}
+    for c in data:
+        grown = held + bytes([c])
+        if grown in table and grown not in (b"clear", b"the end"):
+            held = grown
+            continue
+        bits.append(f"{table[held]:0{width}b}")
+        table[grown], held = len(table), bytes([c])
+        if len(table) > 2 ** width - 1:
+            width += 1
+        if len(table) == 4_094:
+            bits.append(f"{256:0{width}b}")
+            table, width = {**start, b"clear": 256, b"the end": 257}, 9
+    bits += [f"{table[held]:0{width}b}"]
+    if len(table) + 1 > 2 ** width - 1:
+        width += 1
+    bits.append(f"{257:0{width}b}")
+    joined = "".join(bits)
+    packed = int(joined.ljust(-(-len(joined) // 8) * 8, "0"), 2).to_bytes(-(-len(joined) // 8), "big")
+    assert slices.unpack_lzw(packed) == data

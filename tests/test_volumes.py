@@ -103,3 +103,14 @@ def test_rendered_square(spark):
     cam = scene.camera((-1, 0, -1), (1, 0, 1), (0, 1, 0), (0, 0, 1), 20, 20, padding=0.0)
     near = scene.nearest_hit(scene.ray_hits(tri, cam, 20, 20, ["part"]), ["part"])
     assert near.count() == 400 and near.agg(F.min("cosine")).first()[0] == pytest.approx(1)
+
+
+def test_pair_hits_beyond_a_word(spark, monkeypatch):
+    offsets = [(1, 0, 0, 2), (1, 0, 0, 31), (1, 1, -1, 33), (1, 0, 1, 64)]
+    monkeypatch.setattr(C, "_half_space", lambda r_max, pitch: offsets)
+    occ = np.random.default_rng(2).random((4, 3, 90)) < 0.4
+    got = {(r["dx"], r["dy"], r["dz"]): r["hits"] for r in C.pair_hits(spark.createDataFrame(occ_frame(occ)), "vol", 1).collect()}
+    for _, *d in offsets:
+        lo = tuple(slice(max(0, -c), n - max(0, c)) for c, n in zip(d, occ.shape))
+        hi = tuple(slice(max(0, c), n - max(0, -c)) for c, n in zip(d, occ.shape))
+        assert got[tuple(d)] == int((occ[lo] & occ[hi]).sum())
