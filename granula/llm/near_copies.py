@@ -37,7 +37,7 @@ from granula.operators.components import connected_components
 from . import cells
 from .base import fresh, keep, partitions, query, table
 from .hashes import joined, runs, word_hashes
-from .rtree import Forest, RTree, count_vector, enough, fold, group_count
+from .rtree import Forest, RTree, count_vector, enough, fold, group_count, unpacked
 
 SHINGLE, PERCENT = 5, 75
 CHUNK = 8_000_000
@@ -133,13 +133,30 @@ def linked(names: list[str], sets: list[np.ndarray], percent: int) -> list[tuple
     return found
 
 
-def meetings(nodes: DataFrame, number: int, part: int) -> DataFrame:
-    """Where several nodes of one size class meet at their ``number``-th repeated shingle."""
+def meetings(nodes: DataFrame, number: int, percent: int, part: int) -> DataFrame:
+    """Nodes of one size class that meet at their ``number``-th repeated shingle, where count vectors leave them a possible partner."""
     by = ["token", "class"]
-    own = nodes.filter(F.size("tokens") > number).select(F.col("tokens")[number].alias("token"), F.floor(size_class(F.col("n"))).alias("class"), "node", "chunk")
+    own = nodes.filter(F.size("tokens") > number).select(F.col("tokens")[number].alias("token"), F.floor(size_class(F.col("n"))).alias("class"), "node", "chunk", "n", "vector")
     several = own.groupBy(*by).agg(F.count("*").alias("count")).filter("count > 1")
     several = keep(several.select(*by, F.ceil(F.col("count") / part).alias("parts")))
-    return keep(own.join(several, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts"))).drop("parts"))
+    met = own.join(several, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts"))).drop("parts")
+
+    def run(bucket: pa.Table) -> pa.Table:
+        raw = [unpacked(x.as_buffer()) for x in bucket["vector"]]
+        n, some = bucket["n"].to_numpy().astype(np.int64), np.zeros(len(raw), bool)
+        for rows in groups_of(bucket, [*by, "part"]):
+            if len(rows) <= SMALL:
+                i, j = (rows[x] for x in np.triu_indices(len(rows), 1))
+                good = enough(bounds(raw, i, j), n[i] + n[j], percent)
+                some[i[good]] = some[j[good]] = True
+            else:
+                least = min(len(raw[k]) for k in rows)
+                each = np.arange(len(rows))
+                for i, j in RTree(np.array([fold(raw[k], least) for k in rows]), n[rows]).pairs(percent, lambda: each):
+                    some[rows[i]] = some[rows[j]] = True
+        return bucket.select([*by, "part", "node", "chunk"]).filter(pa.array(some))
+
+    return keep(in_buckets(met, [*by, "part"]).applyInArrow(run, "token long, class long, part long, node string, chunk long"))
 
 
 def round_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,12 +202,12 @@ def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int)
     place = F.pmod(F.xxhash64(*by, "low", "high"), F.lit(4 * partitions(nodes.sparkSession)))
     blocks = keep(blocks.withColumn("bucket", place))
     # in a bucket every node has one vector, however many of its shingles lie there
-    needed = keep(blocks.select("bucket", "node").distinct().join(nodes.select("node", "vector"), "node"))
+    needed = blocks.select("bucket", F.col("node").alias("id")).distinct().join(nodes.select(F.col("node").alias("id"), "vector"), "id").select(F.col("bucket").alias("place"), "id", "vector")
 
     def run(postings: pa.Table, points: pa.Table) -> pa.Table:
-        position = {x: i for i, x in enumerate(points["node"].to_pylist())}
-        names = np.array(points["node"].to_pylist(), object)
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in points["vector"]]
+        position = {x: i for i, x in enumerate(points["id"].to_pylist())}
+        names = np.array(points["id"].to_pylist(), object)
+        raw = [unpacked(x.as_buffer()) for x in points["vector"]]
         at = np.array([position[x] for x in postings["node"].to_pylist()], np.int64)
         n, label = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         n[at] = postings["n"].to_numpy()
@@ -229,7 +246,7 @@ def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int)
         good = enough(bounds(raw, i, j), n[i] + n[j], percent)
         return edge_table([(min(p), max(p)) for p in zip(names[i[good]], names[j[good]])])
 
-    return blocks.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(run, EDGES).distinct()
+    return blocks.groupBy("bucket").cogroup(needed.groupBy("place")).applyInArrow(run, EDGES).distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,11 +290,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         bits = cells.read_bits(keys, got[0], buckets)
         places = {x: np.flatnonzero(bits[np.searchsorted(keys, t)]) for x, t in own.items()}
         use = [x for x, at in places.items() if len(at)]
-        points = [count_vector(sets[x], group_count(len(sets[x]))).tobytes() for x in use]
+        points = [count_vector(sets[x], group_count(len(sets[x]))) for x in use]
         return pa.table({"chunk": pa.array([number] * len(use), pa.int64()), "node": pa.array(use, pa.string()), "n": pa.array([len(sets[x]) for x in use], pa.int32()), "vector": pa.array(points, pa.binary()),
                          "tokens": pa.array([own[x][places[x]].astype(np.int64) for x in use], pa.list_(pa.int64())), "places": pa.array([places[x] for x in use], pa.list_(pa.int32()))})
 
-    def unpacked(batches):
+    def rows_of(batches):
         for batch in batches:
             for data in batch.column("data"):
                 yield from cells.from_stream(data.as_buffer()).select([*carry, "n_shingles", name, *([] if key in carry else [key])]).to_batches()
@@ -298,7 +315,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
 
     nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES).dropDuplicates(["node"]))
     edges = docs.sparkSession.createDataFrame([], EDGES)
-    met = [meetings(nodes, number, part) for number in range(rounds)]
+    met = [meetings(nodes, number, percent, part) for number in range(rounds)]
     if met:
         sets = sets_of(reduce(DataFrame.unionByName, met).select("chunk", "node"))
         edges = reduce(DataFrame.unionByName, [keep(round_links(m, sets, percent)) for m in met])
@@ -310,7 +327,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
 
     columns = [*carry, *([] if key in carry else [key])]
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_shingles", T.LongType()), T.StructField(name, T.StringType()), *([] if key in carry else [docs.schema[key]])])
-    rows = stored.mapInArrow(unpacked, schema)
+    rows = stored.mapInArrow(rows_of, schema)
     wanted, label = label, label or fresh("label", docs)
     labelled = rows.join(components.select(F.col("node").alias(name), F.col("component").alias(label)), name, "left").withColumn(label, F.coalesce(label, name))
     least = keep(labelled.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias("component_id")))

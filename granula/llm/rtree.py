@@ -21,15 +21,21 @@ def group_count(n: int) -> int:
     return 1 << max(3, (n // 2).bit_length())
 
 
-def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
-    """Counts by group; more groups are taken while a count does not fit into a byte."""
+def count_vector(tokens: np.ndarray, groups: int) -> bytes:
+    """Counts by group, two to a byte; more groups are taken while a count does not fit into half a byte."""
     while True:
         counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        if counts.max(initial=0) < 256:
-            return counts.astype(np.uint8)
+        if counts.max(initial=0) < 16:
+            counts = counts.astype(np.uint8)
+            return (counts[::2] | counts[1::2] << 4).tobytes()
         groups *= 2
 
 
+def unpacked(vector: bytes) -> np.ndarray:
+    pairs = np.frombuffer(vector, np.uint8)
+    return np.stack([pairs & 15, pairs >> 4], 1).ravel()
+
+
 def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(-1, groups).sum(0, dtype=np.int32)
 

@@ -14,7 +14,7 @@ from granula.llm import passages
 from granula.llm.hashes import runs
 from granula.llm.lines import drop_lines
 from granula.llm.mph import Mph
-from granula.llm.rtree import RTree, count_vector, enough, fold, group_count
+from granula.llm.rtree import RTree, count_vector, enough, fold, group_count, unpacked
 
 WS = " \t\n\x0b\f\r"
 
@@ -166,7 +166,7 @@ def test_tree_finds_every_pair_over_the_bound():
     rng = np.random.default_rng(1)
     sets = [rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64) for _ in range(150)]
     sets = [np.unique(s) for s in sets]
-    points = np.array([fold(count_vector(s, 32), 16) for s in sets])
+    points = np.array([fold(unpacked(count_vector(s, 32)), 16) for s in sets])
     sizes = np.array([len(s) for s in sets])
     tree = RTree(points, sizes)
     got = {(min(a, b), max(a, b)) for i, j in tree.pairs(75, lambda: np.arange(150)) for a, b in zip(i.tolist(), j.tolist())}
