@@ -51,7 +51,7 @@ _FLAG_VOX = """fv AS (SELECT DISTINCT l_suppkey || l_returnflag AS vol, CAST(l_q
  SELECT a.supplier, {q6('sqrt(sum((a.s2 - b.s2) ** 2))')} AS l2 FROM k a JOIN k b ON a.supplier = b.supplier AND a.r = b.r AND a.flag = 'R' AND b.flag = 'A' GROUP BY a.supplier""")
 def s2_curve_l2(spark, sf):
     """Distance of the curves of returned and accepted items, per supplier."""
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
     occ = li.select(F.struct(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f")).alias("vol"), (F.col("l_quantity").cast("bigint") - 1).alias("x"),
                     F.round(F.col("l_discount") * 100).cast("bigint").alias("y"), F.round(F.col("l_tax") * 100).cast("bigint").alias("z")).distinct()
     dims = occ.select("vol").distinct().select("vol", F.lit(NX).alias("nx"), F.lit(NY).alias("ny"), F.lit(NZ).alias("nz"))

@@ -14,10 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 RECORD = (
-    "entity_id string, acceptance_index int, scale double, rotation struct<quaternion:array<double>,matrix:array<array<double>>>, "
-    "translation array<double>, equivalent_diameter double, volume struct<full:double,in_domain:double,in_domain_solid:double>, "
-    "clipped struct<any:boolean,faces:array<string>>, void_overlap_volume double, size_class int, triangle_range array<bigint>, "
-    "bbox struct<min:array<double>,max:array<double>>")
+    "entity_id string, acceptance_index bigint, particle bigint, attempt int, shape int, scale double, rotation struct<quaternion:array<double>>, "
+    "translation array<double>, equivalent_diameter double, volume struct<full:double>")
 
 
 def read_histogram(spark: SparkSession, path: str) -> DataFrame:
@@ -61,12 +59,18 @@ def write_png(lines: DataFrame, path: str, width: int, height: int) -> None:
 
 
 def write_records(records: DataFrame, folder: str) -> None:
-    """Particle records as JSON lines, one file per partition."""
-    records.write.mode("errorifexists").json(folder)
+    """Particle records as JSON lines, one file per partition; ``read_records`` gives them back."""
+    nested = records.select("entity_id", "acceptance_index", "particle", "attempt", "shape", "scale", F.struct(F.array(*(F.col(f"quaternion.{k}") for k in "wxyz")).alias("quaternion")).alias("rotation"),
+                            "translation", "equivalent_diameter", F.struct(F.col("volume").alias("full")).alias("volume"))
+    nested.write.mode("errorifexists").json(folder)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(RECORD).json(folder)
+    """The records as they were written, rotations and volumes flat again."""
+    q = F.col("rotation.quaternion")
+    rows = spark.read.schema(RECORD).json(folder)
+    return rows.select("entity_id", "acceptance_index", "particle", "attempt", "shape", "scale", F.struct(*(q[i].alias(k) for i, k in enumerate("wxyz"))).alias("quaternion"),
+                       "translation", "equivalent_diameter", F.col("volume.full").alias("volume"))
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:

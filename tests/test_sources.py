@@ -183,3 +183,10 @@ def test_tiff_lzw_round_trip():
     joined = "".join(bits)
     packed = int(joined.ljust(-(-len(joined) // 8) * 8, "0"), 2).to_bytes(-(-len(joined) // 8), "big")
     assert slices.unpack_lzw(packed) == data
+
+
+def test_particle_records_round_trip(spark, tmp_path):
+    rows = [(f"p{i}", i, i + 3, 0, 1, 0.5 * i, (1.0, 0.0, 0.25, -0.5), [1.0, 2.0, 3.5 * i], 2.0, 4.25) for i in range(5)]
+    df = spark.createDataFrame(rows, "entity_id string, acceptance_index bigint, particle bigint, attempt int, shape int, scale double, quaternion struct<w:double,x:double,y:double,z:double>, translation array<double>, equivalent_diameter double, volume double")
+    reports.write_records(df, str(tmp_path / "r"))
+    assert sorted(map(tuple, reports.read_records(spark, str(tmp_path / "r")).collect())) == sorted(map(tuple, df.collect()))
