@@ -31,6 +31,7 @@ RESULTS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+DOTTED = re.compile(r"[0-9]\.[0-9]")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -50,29 +51,27 @@ _word = "|".join(sorted(SPELLED, key=len, reverse=True))
 _sign = "|".join(SIGNS)
 #: Seven digits or more, at least two of them words, signs between them allowed.
 NUMBER = re.compile(rf"(?i)(?<!\w)(?:(?:{_sign})[ ,-]{{1,2}})?(?:(?:{_word}|[0-9]+)(?:[ ,.-]{{1,2}}|$|(?!\w))(?:(?:{_sign})[ ,-]{{1,2}})?){{4,}}")
-DIGIT_HINT = re.compile(rf"(?i)(?<!\w)(?:{_word})[ ,.-]{{1,2}}(?:(?:{_sign})[ ,-]{{1,2}})?(?:{_word}|[0-9])")
 PART = re.compile(rf"(?i){_word}|{_sign}|[0-9]+|[ ,.-]+")
 #: "at" and "dot" in brackets, or bare between words where a known ending follows.
-BRACKET = re.compile(r"(?i)\s{0,2}[\[({<]\s?(at|dot|punkt|arobase|arroba|punto|point)\s?[\])}>]\s{0,2}")
+BRACKET = re.compile(r"(?i)[\[({<]\s?(at|dot|punkt|arobase|arroba|punto|point)\s?[\])}>]\s{0,2}")
 #: Endings of names that make bare words "at" and "dot" count.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "example", "test")
-BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})\b)")
+BARE_NAME = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})\b")
 BARE_DOT = re.compile(r"(?i)\s+dot\s+")
 AT_WORDS = {"at", "arobase", "arroba"}
 
 
 @lru_cache(maxsize=1)
-def look_alikes() -> tuple[dict[int, str], re.Pattern]:
-    """Table and hint: listed letters, every character whose compatibility form is one ASCII letter, digit or sign, all decimal digits, nothing for unseen ones."""
-    found = {ord(k): v for k, v in ALIKE.items()}
+def look_alikes() -> dict[str, str]:
+    """Table of listed letters, every character whose compatibility form is one ASCII letter, digit or sign, all decimal digits, nothing for unseen ones."""
+    found = dict(ALIKE)
     for code in range(128, sys.maxunicode + 1):
         c = chr(code)
         if unicodedata.category(c) == "Nd":
-            found[code] = str(unicodedata.digit(c))
+            found[c] = str(unicodedata.digit(c))
         elif len(n := unicodedata.normalize("NFKC", c)) == 1 and n < "\x7f" and n > " " and unicodedata.category(c) not in ("Zs", "Mn"):
-            found[code] = n
-    found |= {ord(c): "" for c in UNSEEN}
-    return found, re.compile("[" + "".join(map(re.escape, map(chr, found))) + "]")
+            found[c] = n
+    return found | dict.fromkeys(UNSEEN, "")
 
 
 def luhn(digits: str) -> bool:
@@ -105,7 +104,8 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     out = {k: [] for k in KINDS}
     if "@" in text:
         out["email"] = emails(text)
-    out["ip"] = [m.span() for m in IP.finditer(text) if all(map(small, m[0].split(".")))]
+    if DOTTED.search(text):
+        out["ip"] = [m.span() for m in IP.finditer(text) if all(map(small, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -161,24 +161,41 @@ def spelled(m: re.Match) -> list[tuple[int, int, str]]:
 
 def normalised(text: str) -> Mapped | None:
     """The text without disguises, or nothing where it has none."""
-    table_, hint = look_alikes()
     m = Mapped(text)
     if not text.isascii():
-        m.rewrite([(x.start(), x.end(), table_[ord(x[0])]) for x in hint.finditer(text)])
-    low = m.text
-    m.rewrite([(x.start(), x.end(), "@" if x[1].lower() in AT_WORDS else ".") for x in BRACKET.finditer(low)])
-    if "dot" in m.text or "DOT" in m.text or "Dot" in m.text or " at " in m.text:
-        bare = [(x.start(), x.end(), "@") for x in BARE.finditer(m.text)]
-        if bare:
-            reach = [BARE_NAME.match(m.text, e).end() for _, e, _ in bare]
-            dots = [(x.start(), x.end(), ".") for (_, e, _), r in zip(bare, reach) for x in BARE_DOT.finditer(m.text, e, r)]
-            m.rewrite(sorted(bare + dots))
-    if DIGIT_HINT.search(m.text):
+        table_ = look_alikes()
+        if here := set(text).intersection(table_):
+            m.rewrite([(x.start(), x.end(), table_[x[0]]) for x in re.finditer("[" + "".join(map(re.escape, sorted(here))) + "]", text)])
+    m.rewrite(bracketed(m.text))
+    m.rewrite(bare_addresses(m.text))
+    if sum(w in SPELLED for w in m.text.lower().replace("-", " ").replace(",", " ").split()) > 1:
         m.rewrite([e for x in NUMBER.finditer(m.text) for e in spelled(x)])
     return m if m.at else None
 
 
-BARE_NAME = re.compile(r"(?i)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*")
+def bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Edits for "at" and "dot" in brackets, with up to two blanks on either side."""
+    out = []
+    for x in BRACKET.finditer(text):
+        start = x.start()
+        while start > max(0, x.start() - 2) and text[start - 1].isspace() and (not out or start > out[-1][1]):
+            start -= 1
+        out.append((start, x.end(), "@" if x[1].lower() in AT_WORDS else "."))
+    return out
+
+
+def bare_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits for "at" and "dot" as bare words, where a name with a known ending follows."""
+    out = []
+    for form in (" at ", " At ", " AT "):
+        at = text.find(form)
+        while at >= 0:
+            end = at + len(form)
+            if at and text[at - 1] in LOCAL and (name := BARE_NAME.match(text, end)):
+                out += [(at, end, "@"), *((x.start(), x.end(), ".") for x in BARE_DOT.finditer(text, end, name.end()))]
+            at = text.find(form, at + 1)
+    out.sort()
+    return [e for i, e in enumerate(out) if not i or e[0] >= out[i - 1][1]]
 
 
 def find(text: str | None) -> tuple[dict[str, list], dict[str, list]]:
