@@ -161,19 +161,27 @@ def closest(spark, cfg):
         raise ConfigError("give triangles or segments, not both")
     kind, names = ("triangle", "abc") if cfg.get("triangles") else ("segment", "ab")
     prims = _corners(spark, cfg, "triangles" if kind == "triangle" else "segments", "vertices", names, "pid")
-    got = cut(nearest.nearest(_points(spark, cfg, "queries"), prims, kind=kind))
+    prims, queries = cut(prims), _points(spark, cfg, "queries")
+    got = nearest.nearest(queries, prims, kind=kind)
+    got = cut(nearest.closest_points(got, queries, prims, kind=kind))
     out = Path(resolve(cfg, cfg["output_dir"]))
+    npy.write_npy(got, "qid", ["cx", "cy", "cz"], str(out / "closest.npy"))
     npy.write_npy(got, "qid", ["primitive"], str(out / "primitive.npy"), integer=True)
     npy.write_npy(got, "qid", ["distance"], str(out / "distance.npy"))
+    far = got.agg(F.count("*").alias("queries"), F.max("distance").alias("max_distance"), F.avg("distance").alias("mean_distance")).first().asDict()
+    reports.write_json(str(out / "report.json"), {"kind": kind, **far})
+    return far
 
 
 def state_map(spark, cfg):
     tets = _corners(spark, cfg, "source_cells", "source_points", "abcd", "tid")
     got = cut(locate.locate(_points(spark, cfg, "query_points"), tets, bound=number(cfg["fallback_distance"])))
     out = Path(resolve(cfg, cfg["output_dir"]))
-    npy.write_npy(got, "qid", ["donor"], str(out / "donor.npy"), integer=True)
-    npy.write_npy(got, "qid", ["distance"], str(out / "distance.npy"))
-    return locate.counts(got).first().asDict()
+    npy.write_npy(got, "qid", ["donor"], str(out / "donors.npy"), integer=True)
+    npy.write_npy(got, "qid", ["distance"], str(out / "distances.npy"))
+    report = locate.counts(got).first().asDict()
+    reports.write_json(str(out / "report.json"), report)
+    return report
 
 
 def pack(spark, cfg):

@@ -42,13 +42,6 @@ def plane_distance(p: V, origin: V, normal: V) -> Column:
     return dot(sub(p, origin), normal)
 
 
-def segment_plane_cut(a: V, b: V, da: Column, db: Column) -> V:
-    """Where a segment crosses a plane given the end distances; t clamped to [0, 1]."""
-    span = da - db
-    t = F.when(F.abs(span) < 1e-12, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), div(da, span))))
-    return add(a, scale(sub(b, a), t))
-
 
 def ray_hit(origin: V, direction: V, a: V, b: V, c: V) -> Column:
     """Ray parameter of a Moeller-Trumbore hit, NULL when there is none."""

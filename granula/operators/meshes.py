@@ -194,13 +194,3 @@ def map_corners(tri: DataFrame, fn) -> DataFrame:
         v = fn(vec(p))
         new.update({p + k: c for k, c in zip("xyz", v)})
     return tri.select(*(new[c].alias(c) if c in new else F.col(c) for c in tri.columns))
-
-
-def longest_edge(tri: DataFrame):
-    a, b, c = vec("a"), vec("b"), vec("c")
-    return F.sqrt(F.greatest(norm2(sub(a, b)), norm2(sub(b, c)), norm2(sub(c, a))))
-
-
-def centre_of(tri: DataFrame):
-    a, b, c = vec("a"), vec("b"), vec("c")
-    return scale(type(a)(a.x + b.x + c.x, a.y + b.y + c.y, a.z + b.z + c.z), 1.0 / 3.0)

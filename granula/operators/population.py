@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.rng import u01
-from ..functions.vec import div
+
 from .ordered import numbered, running
 
 
@@ -134,7 +134,3 @@ def cumulative_bins(bins: DataFrame, order: str, weight: str) -> DataFrame:
     upto = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     s = bins.withColumn("_t", F.sum(weight).over(total)).withColumn("_c", F.sum(weight).over(upto))
     return s.withColumn("c1", F.col("_c") / F.col("_t")).withColumn("c0", (F.col("_c") - F.col(weight)) / F.col("_t")).drop("_t", "_c")
-
-
-def relative_error(actual: Column, target: Column) -> Column:
-    return div(actual - target, target)

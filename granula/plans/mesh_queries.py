@@ -232,11 +232,6 @@ def forge_map(v: V, centre: V, compression: float, bulge: float) -> V:
     return V(*(c + (p - c) * s for p, c, s in zip(v, centre, f)))
 
 
-def densify(v: V, centre: V, compression: float, densification: float) -> V:
-    """Voids also shrink about their own centroid."""
-    s = min(max(1.0 - 0.05 * compression * densification, 0.85), 1.0)
-    return add(centre, scale(V(*(p - c for p, c in zip(v, centre))), s))
-
 
 _LAT = (1 / math.sqrt(0.8)) ** 0.5
 _FORGE = {"x": _LAT, "y": _LAT, "z": 0.8}
