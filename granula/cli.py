@@ -18,7 +18,7 @@ from .plans import jobs
 from .session import cut
 from .sources import npy, reports, slices, stl
 
-COMMANDS = ("measure", "split-filter", "scale", "forge", "crop", "render", "closest", "state-map", "pack", "version")
+COMMANDS = ("measure", "split-filter", "scale", "forge", "crop", "render", "mesh-render", "closest", "state-map", "pack", "version")
 
 
 class ConfigError(ValueError):
@@ -133,6 +133,22 @@ def render(spark, cfg):
     reports.write_png(scene.image(px, w, h, ["r", "g", "b"], (255, 255, 255, 255)), resolve(cfg, cfg.get("output_path", "rendered.png")), w, h)
 
 
+def mesh_render(spark, cfg):
+    """VTU document to one PNG per named view."""
+    path = resolve(cfg, cfg["input_path"])
+    cells, points = (cut(spark.read.format("vtu").options(path=path, table=t).load()) for t in ("cells", "points"))
+    views = cfg.get("views") or list(scene.VIEWS)
+    if unknown := sorted(set(views) - set(scene.VIEWS)):
+        raise ConfigError(f"unknown views: {', '.join(unknown)}")
+    filters = [(f["kind"], {k: v for k, v in f.items() if k != "kind"}) for f in cfg.get("filters") or []]
+    tri = cut(jobs.scene_triangles(cells, points, filters, cfg.get("color_by"), cfg.get("color_mode", "categorical") == "scalar", number(cfg.get("opacity", 1.0))))
+    w, h = int(cfg.get("width", 1024)), int(cfg.get("height", 1024))
+    out = Path(resolve(cfg, cfg["output_dir"]))
+    for view in views:
+        reports.write_png(jobs.render_view(tri, view, w, h), str(out / f"{view}.png"), w, h)
+    return {"triangles": tri.count(), "views": list(views)}
+
+
 def _array(spark, cfg, key, view="float"):
     return spark.read.format("npy").options(path=resolve(cfg, cfg[key]), view=view).load()
 
