@@ -121,6 +121,17 @@ def drop_passages(docs: DataFrame, text: str = "text", window: int = 35, carry:
     return cells.meet(stored, [anchors, windows], finish, schema)
 
 
-@query("op7_substring_dedup")
+SQL_OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+p AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+g AS (SELECT p.r, p.p, p.word, coalesce(max(f.i) OVER (PARTITION BY p.r ORDER BY p.p), -99) >= p.p - 34 AS gone FROM p LEFT JOIN f ON p.r = f.r AND p.p = f.i),
+s AS (SELECT r, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM d LEFT JOIN s ON d.r = s.r
+"""
+
+
+@query("op7_substring_dedup", SQL_OP7)
 def op7(spark, sf_dir):
     return drop_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"], digest=True)
