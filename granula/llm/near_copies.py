@@ -44,10 +44,11 @@ CHUNK = 8_000_000
 PART = 4_096
 ROUNDS = 2
 SMALL = 32
+SLICE = 500_000
 RESULTS = ["n_shingles", "component_id"]
-EDGES = "u string, v string"
-NODES = "chunk long, node string, n int, vector binary, tokens array<long>, places array<int>"
-SETS = "node string, set binary"
+EDGES = "u long, v long"
+NODES = "chunk long, name string, n int, vector binary, tokens array<long>, places array<int>"
+SETS = "node long, set binary"
 
 
 def shingle_sets(texts: list, k: int = SHINGLE) -> list[np.ndarray]:
@@ -104,12 +105,12 @@ def in_buckets(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(4 * partitions(rows.sparkSession)))).groupBy("bucket")
 
 
-def edge_table(found: list[tuple[str, str]]) -> pa.Table:
+def edge_table(found: list[tuple[int, int]]) -> pa.Table:
     u, v = zip(*found) if found else ((), ())
-    return pa.table({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())})
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def linked(names: list[str], sets: list[np.ndarray], percent: int) -> list[tuple[str, str]]:
+def linked(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Spanning links of the nodes that meet in one place."""
     sizes = np.array([len(s) for s in sets], np.int64)
     forest, found = Forest(len(names)), []
@@ -156,7 +157,7 @@ def meetings(nodes: DataFrame, number: int, percent: int, part: int) -> DataFram
                     some[rows[i]] = some[rows[j]] = True
         return bucket.select([*by, "part", "node", "chunk"]).filter(pa.array(some))
 
-    return keep(in_buckets(met, [*by, "part"]).applyInArrow(run, "token long, class long, part long, node string, chunk long"))
+    return keep(in_buckets(met, [*by, "part"]).applyInArrow(run, "token long, class long, part long, node long, chunk long"))
 
 
 def round_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,6 +188,20 @@ def bounds(raw: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def trimmed(placed: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Drop postings that no partner at their place can make up for.
+
+    Where a shingle is the first that two sets share, they share at most what either has left
+    from there on; so that must do for a partner as small as the smallest there. Places keep
+    different components and a node at home; of two nodes alone the pair itself is tested.
+    """
+    places = placed.groupBy(*by).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("count"), F.count_if(F.col("home") == F.col("class")).alias("own"),
+                                     F.min("n").alias("least"), F.min("rest").alias("left"), F.sum("n").alias("total"))
+    open_ = (F.col("count") > 2) | enough(F.col("left"), F.col("total"), percent)
+    places = keep(places.filter((F.col("a") != F.col("b")) & (F.col("own") > 0) & open_).select(*by, "least"))
+    return placed.join(places, by).filter(enough(F.col("rest"), F.col("n") + F.col("least"), percent)).drop("least")
+
+
 def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int) -> DataFrame:
     """Pairs of different components that share a leading shingle and whose bound suffices."""
     by = ["token", "class"]
@@ -194,24 +209,27 @@ def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int)
     postings = nodes.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("node", "n", F.col("t.tokens").alias("token"), (F.col("n") - F.col("t.places")).alias("rest")).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = keep(postings.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token"))
     placed = keep(postings.join(mixed, "token").distinct().withColumn("home", F.floor(x)).withColumn("class", F.explode(F.sequence(F.floor(x), F.floor(x + (1 + 1e-9))))))
-    # places where different components of like size still meet, in blocks where they are large
-    met = placed.groupBy(*by).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("count"), F.count_if(F.col("home") == F.col("class")).alias("own"))
-    met = keep(met.filter("a <> b AND own > 0").select(*by, F.ceil(F.col("count") / part).alias("parts")))
+    for _ in range(2):
+        placed = keep(trimmed(placed, by, percent))
+    met = placed.groupBy(*by).agg(F.count("*").alias("count")).filter("count > 1")
+    met = keep(met.select(*by, F.ceil(F.col("count") / part).alias("parts")))
     blocks = placed.join(met, by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "parts")
-    place = F.pmod(F.xxhash64(*by, "low", "high"), F.lit(4 * partitions(nodes.sparkSession)))
-    blocks = keep(blocks.withColumn("bucket", place))
+    # a class lies in as few buckets as its postings allow: its vectors travel once or twice, its pairs are found once
+    slices = keep(placed.groupBy("class").agg(F.ceil(F.count("*") / SLICE).alias("slices")))
+    place = F.pmod(F.xxhash64("class", F.pmod(F.xxhash64("token"), F.col("slices")), "low", "high"), F.lit(partitions(nodes.sparkSession)))
+    blocks = keep(blocks.join(slices, "class").withColumn("bucket", place).drop("slices"))
     # in a bucket every node has one vector, however many of its shingles lie there
     needed = blocks.select("bucket", F.col("node").alias("id")).distinct().join(nodes.select(F.col("node").alias("id"), "vector"), "id").select(F.col("bucket").alias("place"), "id", "vector")
 
     def run(postings: pa.Table, points: pa.Table) -> pa.Table:
-        position = {x: i for i, x in enumerate(points["id"].to_pylist())}
-        names = np.array(points["id"].to_pylist(), object)
+        names = points["id"].to_numpy()
+        by_name = np.argsort(names)
         raw = [unpacked(x.as_buffer()) for x in points["vector"]]
-        at = np.array([position[x] for x in postings["node"].to_pylist()], np.int64)
+        at = by_name[np.searchsorted(names, postings["node"].to_numpy(), sorter=by_name)]
         n, label = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         n[at] = postings["n"].to_numpy()
-        label[at] = np.unique(np.array(postings["component"].to_pylist(), object).astype(str), return_inverse=True)[1]
+        label[at] = postings["component"].to_numpy()
         home = postings["home"].to_numpy() == postings["class"].to_numpy()
         rest = postings["rest"].to_numpy().astype(np.int64)  # shingles from this one on: where it is the first shared one, no more can be shared
         block, across = postings["part"].to_numpy(), postings["low"].to_numpy() != postings["high"].to_numpy()
@@ -244,25 +262,54 @@ def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int)
         pairs = np.unique(np.concatenate(found), axis=0)
         i, j = pairs[:, 0], pairs[:, 1]
         good = enough(bounds(raw, i, j), n[i] + n[j], percent)
-        return edge_table([(min(p), max(p)) for p in zip(names[i[good]], names[j[good]])])
+        return pa.table({"u": np.minimum(names[i[good]], names[j[good]]), "v": np.maximum(names[i[good]], names[j[good]])})
 
     return blocks.groupBy("bucket").cogroup(needed.groupBy("place")).applyInArrow(run, EDGES).distinct()
 
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs that overlap enough, by exact intersection of their sets."""
+def gathered(pairs: DataFrame, components: DataFrame, part: int) -> DataFrame:
+    """Give each pair a ``bucket`` so that pairs around one component lie together and a set is sent there once.
 
-    def test(batches):
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            good = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")
-                good.append(bool(enough(overlap(x, y), len(x) + len(y), percent)))
-            yield batch.select(["u", "v"]).filter(pa.array(good))
+    A node leans on the largest component among its own and its partners'; a pair goes to the
+    larger of both choices. Where more than ``part`` nodes would meet, parts meet parts.
+    """
+    size = components.groupBy("component").agg(F.count("*").alias("size"))
+    known = keep(components.join(size, "component").select("node", F.struct("size", "component").alias("own")))
+
+    def told(df: DataFrame, column: str, name: str) -> DataFrame:
+        own = known.select(F.col("node").alias(column), F.col("own").alias(name))
+        alone = F.struct(F.lit(1).cast("long").alias("size"), F.col(column).alias("component"))
+        return df.join(own, column, "left").withColumn(name, F.coalesce(name, alone))
 
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(test, EDGES)
+    both = keep(told(told(pairs, "u", "cu"), "v", "cv").withColumn("most", F.greatest("cu", "cv")))
+    lean = both.select(F.explode(F.array("u", "v")).alias("node"), "most").groupBy("node").agg(F.max("most").alias("lean"))
+    lean = keep(lean)
+    keyed = both.join(lean.select(F.col("node").alias("u"), F.col("lean").alias("lu")), "u").join(lean.select(F.col("node").alias("v"), F.col("lean").alias("lv")), "v")
+    keyed = keep(keyed.select("u", "v", F.greatest("lu", "lv")["component"].alias("key"), F.col("cu.component").alias("cu"), F.col("cv.component").alias("cv")))
+    parts = keep(keyed.groupBy("key").agg(F.ceil(F.count_distinct("u") / part).alias("parts")))
+    place = F.xxhash64("key", F.pmod(F.xxhash64("u"), F.col("parts")), F.pmod(F.xxhash64("v"), F.col("parts")))
+    return keyed.join(parts, "key").select("u", "v", "cu", "cv", F.pmod(place, F.lit(4 * partitions(pairs.sparkSession))).alias("bucket"))
+
+
+def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs, by exact intersection; pairs that are connected by then are passed over."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node"), "bucket").distinct().join(sets, "node").select(F.col("bucket").alias("place"), "node", "set")
+
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        column = given["set"]
+        at = {x: i for i, x in enumerate(given["node"].to_pylist())}
+        known = {x: i for i, x in enumerate({*asked["cu"].to_pylist(), *asked["cv"].to_pylist()})}
+        forest, found = Forest(len(known)), []
+        for u, v, cu, cv in zip(*(asked[c].to_pylist() for c in ("u", "v", "cu", "cv"))):
+            i, j = forest.find(known[cu]), forest.find(known[cv])
+            if i != j:
+                x, y = (np.frombuffer(column[at[w]].as_buffer(), "<u8") for w in (u, v))
+                if enough(overlap(x, y), len(x) + len(y), percent):
+                    forest.join(i, j)
+                    found.append((u, v))
+        return edge_table(found)
+
+    return pairs.groupBy("bucket").cogroup(needed.groupBy("place")).applyInArrow(run, EDGES)
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, percent: int = PERCENT, part: int = PART, rounds: int = ROUNDS, label: str | None = None) -> DataFrame:
@@ -291,7 +338,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         places = {x: np.flatnonzero(bits[np.searchsorted(keys, t)]) for x, t in own.items()}
         use = [x for x, at in places.items() if len(at)]
         points = [count_vector(sets[x], group_count(len(sets[x]))) for x in use]
-        return pa.table({"chunk": pa.array([number] * len(use), pa.int64()), "node": pa.array(use, pa.string()), "n": pa.array([len(sets[x]) for x in use], pa.int32()), "vector": pa.array(points, pa.binary()),
+        return pa.table({"chunk": pa.array([number] * len(use), pa.int64()), "name": pa.array(use, pa.string()), "n": pa.array([len(sets[x]) for x in use], pa.int32()), "vector": pa.array(points, pa.binary()),
                          "tokens": pa.array([own[x][places[x]].astype(np.int64) for x in use], pa.list_(pa.int64())), "places": pa.array([places[x] for x in use], pa.list_(pa.int32()))})
 
     def rows_of(batches):
@@ -301,40 +348,52 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
 
     stored, asked = cells.split(docs, ask, CHUNK)
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """Sets of some nodes (chunk, node), computed again where their chunk lies."""
-        names = F.encode(F.array_join(F.array_sort(F.collect_set("node")), ","), "UTF-8")  # no more than the chunk holds
-        lists = wanted.groupBy("chunk").agg(names.alias("data")).select("chunk", F.lit(0).alias("bucket"), "data", F.lit(1).alias("kind"))
+        """Sets of some nodes, computed again where their chunk lies."""
+        each = F.concat_ws("=", "name", "node")
+        names = F.encode(F.array_join(F.array_sort(F.collect_set(each)), ","), "UTF-8")  # no more than the chunk holds
+        lists = wanted.select("node").distinct().join(nodes.select("node", "chunk", "name"), "node").groupBy("chunk").agg(names.alias("data")).select("chunk", F.lit(0).alias("bucket"), "data", F.lit(1).alias("kind"))
 
         def finish(rows: pa.Table, got: list[dict[int, bytes]], _number: int) -> pa.Table:
-            names = set(got[0][0].decode().split(",")) if got[0] else set()
+            names = dict(x.split("=") for x in got[0][0].decode().split(",")) if got[0] else {}
             first = {x: i for i, x in reversed(list(enumerate(rows[name].to_pylist()))) if x in names}
             sets = shingle_sets([rows[text][i].as_py() for i in first.values()])
-            return pa.table({"node": pa.array(list(first), pa.string()), "set": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+            return pa.table({"node": pa.array([int(names[x]) for x in first], pa.int64()), "set": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
 
         return keep(cells.meet(stored, [lists], finish, SETS))
 
-    nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES).dropDuplicates(["node"]))
+    nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES).dropDuplicates(["name"]).withColumn("node", F.monotonically_increasing_id()))
     edges = docs.sparkSession.createDataFrame([], EDGES)
     met = [meetings(nodes, number, percent, part) for number in range(rounds)]
     if met:
-        sets = sets_of(reduce(DataFrame.unionByName, met).select("chunk", "node"))
+        sets = sets_of(reduce(DataFrame.unionByName, met))
         edges = reduce(DataFrame.unionByName, [keep(round_links(m, sets, percent)) for m in met])
     components = keep(connected_components(edges))
     pairs = keep(rest_pairs(nodes, components, percent, part))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = edges.unionByName(keep(checked(pairs, sets_of(nodes.join(ends, "node").select("chunk", "node")), percent)))
-    components = keep(connected_components(edges))
+    edges = edges.unionByName(keep(checked(keep(gathered(pairs, components, part)), sets_of(ends), percent)))
+    components = keep(connected_components(edges).join(nodes.select("node", "name"), "node").select(F.col("name").alias(name), F.col("component").cast("string").alias("component")))
 
     columns = [*carry, *([] if key in carry else [key])]
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_shingles", T.LongType()), T.StructField(name, T.StringType()), *([] if key in carry else [docs.schema[key]])])
     rows = stored.mapInArrow(rows_of, schema)
     wanted, label = label, label or fresh("label", docs)
-    labelled = rows.join(components.select(F.col("node").alias(name), F.col("component").alias(label)), name, "left").withColumn(label, F.coalesce(label, name))
+    labelled = rows.join(components.withColumnRenamed("component", label), name, "left").withColumn(label, F.coalesce(label, name))
     least = keep(labelled.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias("component_id")))
     out = labelled.join(least, label, "left").withColumn("component_id", F.when(F.col(label).isNull(), F.col(key)).otherwise(F.col("component_id")))
     return out.select(*(c for c in columns if c in carry), "n_shingles", "component_id", *([label] if wanted else []))
 
 
-@query("op8_jaccard_join")
+SQL_OP8 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.r JOIN n y ON o.b = y.r WHERE 100 * o.o >= 75 * (x.n + y.n - o.o)),
+c AS (SELECT r, r AS other FROM d UNION SELECT c.r, l.b FROM c JOIN l ON c.other = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id FROM d JOIN c ON d.r = c.r JOIN d e ON c.other = e.r LEFT JOIN n ON d.r = n.r GROUP BY d.r, d.doc_id
+"""
+
+
+@query("op8_jaccard_join", SQL_OP8)
 def op8(spark, sf_dir):
     return near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
