@@ -56,9 +56,12 @@ PART = re.compile(rf"(?i){_word}|{_sign}|[0-9]+|[ ,.-]+")
 BRACKET = re.compile(r"(?i)[\[({<]\s?(at|dot|punkt|arobase|arroba|punto|point)\s?[\])}>]\s{0,2}")
 #: Endings of names that make bare words "at" and "dot" count.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "example", "test")
-BARE_NAME = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})\b")
+BARE_AT = re.compile(r"(?<=\s)[Aa][Tt]\s+")
+BARE_NAME = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++")
+KNOWN = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)*(?:\s++dot\s++|\.)(?:{'|'.join(ENDINGS)})\b")
 BARE_DOT = re.compile(r"(?i)\s+dot\s+")
 AT_WORDS = {"at", "arobase", "arroba"}
+WORD = re.compile(r"\w+")
 
 
 @lru_cache(maxsize=1)
@@ -168,7 +171,7 @@ def normalised(text: str) -> Mapped | None:
             m.rewrite([(x.start(), x.end(), table_[x[0]]) for x in re.finditer("[" + "".join(map(re.escape, sorted(here))) + "]", text)])
     m.rewrite(bracketed(m.text))
     m.rewrite(bare_addresses(m.text))
-    if sum(w in SPELLED for w in m.text.lower().replace("-", " ").replace(",", " ").split()) > 1:
+    if sum(w in SPELLED for w in WORD.findall(m.text.lower())) > 1:  # a digit word in NUMBER has no word character beside it
         m.rewrite([e for x in NUMBER.finditer(m.text) for e in spelled(x)])
     return m if m.at else None
 
@@ -185,15 +188,14 @@ def bracketed(text: str) -> list[tuple[int, int, str]]:
 
 
 def bare_addresses(text: str) -> list[tuple[int, int, str]]:
-    """Edits for "at" and "dot" as bare words, where a name with a known ending follows."""
+    """Edits for "at" and "dot" as bare words, where a name with a known ending follows; the whole name counts."""
     out = []
-    for form in (" at ", " At ", " AT "):
-        at = text.find(form)
-        while at >= 0:
-            end = at + len(form)
-            if at and text[at - 1] in LOCAL and (name := BARE_NAME.match(text, end)):
-                out += [(at, end, "@"), *((x.start(), x.end(), ".") for x in BARE_DOT.finditer(text, end, name.end()))]
-            at = text.find(form, at + 1)
+    for x in BARE_AT.finditer(text):
+        start, end = x.start(), x.end()
+        while start and text[start - 1].isspace():
+            start -= 1
+        if start and text[start - 1] in LOCAL and KNOWN.match(text, end):
+            out += [(start, end, "@"), *((d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, end, BARE_NAME.match(text, end).end()))]
     out.sort()
     return [e for i, e in enumerate(out) if not i or e[0] >= out[i - 1][1]]
 
