@@ -1,9 +1,9 @@
 """Personal data, also in disguise: detection on normalised text, spans in the source.
 
 Base detectors find e-mail addresses, IPv4 addresses, payment cards (Luhn) and telephone
-numbers in the text as it stands. Then three transducers rewrite the text and keep, for every character
+numbers in the text as it stands. Then transducers rewrite the text and keep, for every character
 they emit, the span of source characters it stands for: look-alike letters and digits (and
-invisible characters), spelled-out digits in long runs, and written-out "at" and "dot". The same detectors run on
+invisible characters), written-out "at" and "dot", spelled-out digits in long runs, and numerals joined by written-out dots. The same detectors run on
 the result; what they find beyond the base is mapped back to source characters and added. Base
 spans always stay.
 
@@ -51,12 +51,19 @@ _word = "|".join(sorted(SPELLED, key=len, reverse=True))
 _sign = "|".join(SIGNS)
 #: Seven digits or more, at least two of them words, signs between them allowed.
 NUMBER = re.compile(rf"(?i)(?<!\w)(?:(?:{_sign})[ ,-]{{1,2}})?(?:(?:{_word}|[0-9]+)(?:[ ,.-]{{1,2}}|$|(?!\w))(?:(?:{_sign})[ ,-]{{1,2}})?){{4,}}")
+#: Four numerals or more, joined by dots, their digits perhaps apart.
+DOTS = frozenset(w for w in SIGNS if SIGNS[w] == ".")
+_dot = rf"\s++(?:{'|'.join(sorted(DOTS))})\s++"
+_digit = rf"(?:[0-9](?!\w)|(?:{_word})\b)"
+_numeral = rf"(?:{_digit}(?:[ -]{_digit}){{1,2}}|[0-9]++|(?:{_word})\b)"
+NUMERALS = re.compile(rf"(?i)(?:(?<![0-9])(?=[0-9])|(?<!\w)){_numeral}(?:(?:{_dot}|\.){_numeral}){{3,}}")
+NUMERAL_PART = re.compile(rf"(?i){_dot}|{_word}|[ -]")
 PART = re.compile(rf"(?i){_word}|{_sign}|[0-9]+|[ ,.-]+")
 #: "at" and "dot" in brackets, or bare between words where a known ending follows.
 BRACKET = re.compile(r"(?i)[\[({<]\s?(at|dot|punkt|arobase|arroba|punto|point)\s?[\])}>]\s{0,2}")
 #: Endings of names that make bare words "at" and "dot" count.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "example", "test")
-BARE_AT = re.compile(r"(?<=\s)[Aa][Tt]\s+")
+AT = re.compile(r"[@Aa](?:(?<=@)|(?<=\s[Aa])[Tt]\s+)")
 BARE_NAME = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++")
 KNOWN = re.compile(rf"(?i)[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)*(?:\s++dot\s++|\.)(?:{'|'.join(ENDINGS)})\b")
 BARE_DOT = re.compile(r"(?i)\s+dot\s+")
@@ -170,9 +177,12 @@ def normalised(text: str) -> Mapped | None:
         if here := set(text).intersection(table_):
             m.rewrite([(x.start(), x.end(), table_[x[0]]) for x in re.finditer("[" + "".join(map(re.escape, sorted(here))) + "]", text)])
     m.rewrite(bracketed(m.text))
-    m.rewrite(bare_addresses(m.text))
-    if sum(w in SPELLED for w in WORD.findall(m.text.lower())) > 1:  # a digit word in NUMBER has no word character beside it
+    m.rewrite(addresses(m.text))
+    words = WORD.findall(m.text.lower())
+    if sum(w in SPELLED for w in words) > 1:  # a digit word in NUMBER has no word character beside it
         m.rewrite([e for x in NUMBER.finditer(m.text) for e in spelled(x)])
+    if any(w in DOTS and numeral(a[-1], a) and numeral(b[0], b) for a, w, b in zip(words, words[1:], words[2:])):
+        m.rewrite([e for x in NUMERALS.finditer(m.text) for e in joined(x)])
     return m if m.at else None
 
 
@@ -187,17 +197,64 @@ def bracketed(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def bare_addresses(text: str) -> list[tuple[int, int, str]]:
-    """Edits for "at" and "dot" as bare words, where a name with a known ending follows; the whole name counts."""
+def addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits for "at" as a bare word where a name with a known ending follows, and for "dot" as a bare word on both sides of it and of every "@"; whole names count."""
+    sites = []
+    for x in AT.finditer(text):
+        start, end = x.span()
+        if bare := x[0] != "@":
+            start = blank_from(text, start)
+        if start and text[start - 1] in LOCAL and (name := BARE_NAME.match(text, end)) and (not bare or KNOWN.match(text, end)):
+            sites.append((start, end, name.end(), bare))
+    out, free = [], 0
+    for k, (start, end, stop, bare) in enumerate(sites):
+        if start < free:
+            continue
+        dots = [(*d.span(), ".") for d in BARE_DOT.finditer(text, end, stop)]
+        if dots and k + 1 < len(sites) and sites[k + 1][0] == stop:  # what follows the last dot is the local part of the next
+            cut = dots[-1][0]
+            if BARE_NAME.fullmatch(text, end, cut) and (not bare or KNOWN.match(text, end, cut)):
+                dots, stop = dots[:-1], cut
+            elif not bare:
+                free = cut
+                continue
+        out += local_dots(text, start, free)
+        out += [(start, end, "@")] * bare + dots
+        free = stop
+    return out
+
+
+def blank_from(text: str, end: int) -> int:
+    """Where the blanks that end there begin."""
+    while end and text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def local_dots(text: str, end: int, free: int) -> list[tuple[int, int, str]]:
+    """Edits for "dot" as a bare word between the words of a local part that ends there and begins at ``free`` or later."""
     out = []
-    for x in BARE_AT.finditer(text):
-        start, end = x.start(), x.end()
-        while start and text[start - 1].isspace():
-            start -= 1
-        if start and text[start - 1] in LOCAL and KNOWN.match(text, end):
-            out += [(start, end, "@"), *((d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, end, BARE_NAME.match(text, end).end()))]
-    out.sort()
-    return [e for i, e in enumerate(out) if not i or e[0] >= out[i - 1][1]]
+    while True:
+        while end > free and text[end - 1] in LOCAL:
+            end -= 1
+        word = blank_from(text, end)
+        start = blank_from(text, max(word - 3, 0))
+        if not (free < start < word - 3 and word < end and text[word - 3:word].lower() == "dot" and text[start - 1] in LOCAL):
+            return out[::-1]
+        out.append((start, end, "."))
+        end = start
+
+
+def numeral(c: str, word: str) -> bool:
+    return c.isdigit() or word in SPELLED
+
+
+def joined(m: re.Match) -> list[tuple[int, int, str]]:
+    """Edits that turn numerals joined by written-out dots into plain ones."""
+    parts = [(*p.span(), p[0].strip().lower()) for p in NUMERAL_PART.finditer(m.string, m.start(), m.end())]
+    if not any(w in DOTS for *_, w in parts):
+        return []
+    return [(a, b, "." if w in DOTS else SPELLED.get(w, "")) for a, b, w in parts]
 
 
 def find(text: str | None) -> tuple[dict[str, list], dict[str, list]]:

@@ -51,3 +51,23 @@ def test_bare_words(found):
 @pytest.mark.parametrize("kind,found", [("phone", "plus one 555 123 456 two"), ("ip", "one.2.3.four"), ("ip", "one dot 2 dot 3 dot four")])
 def test_digit_words_beside_signs(kind, found):
     assert (kind, found) in spans_of(f"is ({found})!")
+
+
+@pytest.mark.parametrize("found", [
+    "john (at) mail dot com", "john@mail dot com", "john@mail\ndot\tcom", "john [at] firm dot ch", "bob [at] mail (dot) example dot com", "bob [at] mail dot example (dot) com", "john dot doe at mail dot com", "john dot van dot doe@mail dot com",
+    "john Dot doe (at) mail.com", "j.r dot doe at mail dot co dot uk"])
+def test_mixed_at_and_dot(found):
+    assert spans_of(f"(ask {found}, please)") == {("email", found)}
+
+
+@pytest.mark.parametrize("found", ["192 dot 168 dot 0 dot 1", "192.168 dot 0 dot 1", "192 dot 168 dot zero dot 1", "192 punto\n168 DOT 0 point 1", "1 9 2 dot 1 6 8 dot 0 dot 1"])
+def test_numerals_joined_by_dots(found):
+    assert spans_of(f"(port 8080: {found})") == {("ip", found)}
+    assert ("ip", found) in spans_of(f"port 8080, {found}, 443")
+
+
+@pytest.mark.parametrize("text,found", [
+    ("ann (at) x.com dot bob (at) y.com", {"ann (at) x.com", "bob (at) y.com"}), ("ann at x dot com dot bob at y dot com", {"ann at x dot com", "bob at y dot com"}), ("a@b dot c at d dot com", {"c at d dot com"}),
+    ("john@mail.com dot com", {"john@mail.com"}), ("dot at home dot then", set()), ("see @home dot com, 2 dot 5, 3 dot 1 and 7 on the dot @ 5", set()), ("is one nine two dot 168 dot 0 dot 1", {"one nine two dot 168 dot 0 dot 1"}), ("1 dot 2 dot 3", set()), ("300 dot 1 dot 1 dot 1", set())])
+def test_neighbours_of_mixed_disguises(text, found):
+    assert {s for _, s in spans_of(text)} == found
