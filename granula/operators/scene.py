@@ -19,7 +19,7 @@ from .ordered import chains, numbered, running
 # Cell type codes and the local node positions of their faces.
 LINE, TRIANGLE, TETRA, VOXEL, HEXAHEDRON = 4, 5, 10, 11, 12
 TET_FACES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))
-VOXEL_FACES = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7), (0, 2, 4, 6), (1, 3, 5, 7))
+VOXEL_FACES = ((0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5))  # around each face
 STOP_TRANSMITTANCE = 1.0 / 512.0
 # View name -> (direction, up).
 VIEWS = {
@@ -76,18 +76,18 @@ def select_cells(cells: DataFrame, filters: Sequence[tuple[str, dict]]) -> DataF
 
 
 def cell_faces(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per face of each tetrahedron or voxel: keys, cid, face (sorted nodes)."""
+    """One row per face of each tetrahedron or voxel: keys, cid, face (sorted nodes), cycle (nodes around it, in the cell's own order)."""
     def faces(table):
-        return F.array(*(F.array_sort(F.array(*(F.col("nodes")[i] for i in f))) for f in table))
+        return F.explode(F.array(*(F.array(*(F.col("nodes")[i] for i in f)) for f in table))).alias("cycle")
 
-    tets = cells.filter(F.col("vtk_type") == TETRA).select(*keys, "cid", F.explode(faces(TET_FACES)).alias("face"))
-    boxes = cells.filter(F.col("vtk_type") == VOXEL).select(*keys, "cid", F.explode(faces(VOXEL_FACES)).alias("face"))
-    return tets.unionByName(boxes)
+    tets = cells.filter(F.col("vtk_type") == TETRA).select(*keys, "cid", faces(TET_FACES))
+    boxes = cells.filter(F.col("vtk_type") == VOXEL).select(*keys, "cid", faces(VOXEL_FACES))
+    return tets.unionByName(boxes).withColumn("face", F.array_sort("cycle"))
 
 
 def boundary_faces(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Faces owned by exactly one of the given cells, with that cell."""
-    f = cell_faces(cells, keys).groupBy(*keys, "face").agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
+    """Faces owned by exactly one of the given cells, with that cell and its cycle."""
+    f = cell_faces(cells, keys).groupBy(*keys, "face").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min_by("cycle", "cid").alias("cycle"))
     return f.filter("n = 1").drop("n")
 
 
