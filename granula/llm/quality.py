@@ -97,7 +97,7 @@ def rules() -> dict:
         "lines": (F.col("n_dup_lines") == 0, 10 * F.col("n_dup_lines") > 4 * m("n_lines")),
         "upper": (100 * m("n_upper") <= 8 * chars, 100 * m("n_upper") >= 25 * chars),
         "shout": (100 * m("n_shout") <= 3 * n, 100 * m("n_shout") >= 20 * n),
-        "endings": (2 * m("n_ends") >= m("n_lines"), F.lit(False)),
+        "endings": (2 * m("n_ends") >= m("n_lines"), 10 * m("n_ends") < m("n_lines")),
     }
 
 
