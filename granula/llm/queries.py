@@ -1,4 +1,4 @@
 """Loads every query module of the subpackage."""
 
-from . import bpe, chat, lines, mixing, near_copies, passages, personal, quality, token_counts, topk  # noqa: F401
+from . import alignment, audit, bpe, chat, exact_copies, lines, mixing, near_copies, passages, personal, quality, token_counts, topk  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
