@@ -28,6 +28,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+class Blocks(list):
+    """Open blocks, innermost last; functions that are sent to executors take none of them along."""
+
+    def __reduce__(self):
+        return Blocks, ()
+
+
+_OPEN = Blocks()
+
+
+class WorkTables:
+    """Remembers the tables that ``cut`` and its like write inside a ``with`` block, so that they can go when used up.
+
+    Tables still held when the block ends pass to the block around it.
+    """
+
+    def __enter__(self):
+        self.made: list[tuple[DataFrame, str, str | None]] = []
+        _OPEN.append(self.made)
+        return self
+
+    def __exit__(self, *failure):
+        _OPEN[:] = [m for m in _OPEN if m is not self.made]
+        if _OPEN:
+            _OPEN[-1].extend(self.made)
+
+    def drop(self, *but: DataFrame) -> None:
+        """Remove all tables except those read by the frames ``but`` (as ``cut`` returned them)."""
+        for table, path, name in self.made:
+            if not any(table is b for b in but):
+                spark = table.sparkSession
+                if name:
+                    spark.sql(f"DROP TABLE IF EXISTS {name}")
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.made[:] = [m for m in self.made if any(m[0] is b for b in but)]
+
+
+def written(table: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """Note a table in the checkpoint folder with the block at hand."""
+    if _OPEN:
+        _OPEN[-1].append((table, path, name))
+    return table
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the checkpoint folder and continue from there.
 
@@ -38,7 +83,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/granula-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(spark.read.schema(df.schema).parquet(path), path)
 
 
 def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
