@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granula.session import checkpoint_dir
+from granula.session import checkpoint_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,9 +47,9 @@ def keep(df: DataFrame, *by: str, bucketed: tuple[str, int] | None = None) -> Da
     write = write.partitionBy(*by) if by else write
     if not bucketed:
         write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return written(spark.read.schema(df.schema).parquet(path), path)
     write.bucketBy(bucketed[1], bucketed[0]).option("path", path).saveAsTable(name)
-    return spark.table(name).select(*df.columns)  # the catalog entry stays while results are read
+    return written(spark.table(name).select(*df.columns), path, name)  # the catalog entry stays while results are read
 
 
 def fresh(name: str, df: DataFrame) -> str:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granula.operators.components import connected_components
+from granula.session import WorkTables
 
 from . import cells
 from .base import fresh, keep, partitions, query, table
@@ -44,7 +45,7 @@ CHUNK = 8_000_000
 PART = 4_096
 ROUNDS = 2
 SMALL = 32
-SLICE = 500_000
+SLICE = 25_000
 RESULTS = ["n_shingles", "component_id"]
 EDGES = "u long, v long"
 NODES = "chunk long, name string, n int, vector binary, tokens array<long>, places array<int>"
@@ -216,7 +217,10 @@ def rest_pairs(nodes: DataFrame, components: DataFrame, percent: int, part: int)
     blocks = placed.join(met, by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "parts")
     # a class lies in as few buckets as its postings allow: its vectors travel once or twice, its pairs are found once
-    slices = keep(placed.groupBy("class").agg(F.ceil(F.count("*") / SLICE).alias("slices")))
+    # and no bucket gets much more than its share
+    postings = keep(placed.groupBy("class").agg(F.count("*").alias("count")))
+    share = 2 * (postings.agg(F.sum("count")).first()[0] or 0) // partitions(nodes.sparkSession)
+    slices = postings.select("class", F.ceil(F.col("count") / max(SLICE, share)).alias("slices"))
     place = F.pmod(F.xxhash64("class", F.pmod(F.xxhash64("token"), F.col("slices")), "low", "high"), F.lit(partitions(nodes.sparkSession)))
     blocks = keep(blocks.join(slices, "class").withColumn("bucket", place).drop("slices"))
     # in a bucket every node has one vector, however many of its shingles lie there
@@ -312,8 +316,12 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("bucket").cogroup(needed.groupBy("place")).applyInArrow(run, EDGES)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, percent: int = PERCENT, part: int = PART, rounds: int = ROUNDS, label: str | None = None) -> DataFrame:
-    """``docs`` with ``n_shingles`` and ``component_id``, the smallest id reachable by links; ``label`` adds a column that names the component itself (null: no words)."""
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, percent: int = PERCENT, part: int = PART, rounds: int = ROUNDS, first: str | None = None) -> DataFrame:
+    """``docs`` with ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    ``first`` adds a boolean column that is true for exactly one row of each component, the one with the smallest id
+    (of rows with equal ids, or only null ids, the first of the lowest chunk), and for rows without words.
+    """
     if percent < 75:
         raise ValueError("size classes hold for 75 percent or more")
     buckets = partitions(docs.sparkSession)
@@ -341,12 +349,18 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         return pa.table({"chunk": pa.array([number] * len(use), pa.int64()), "name": pa.array(use, pa.string()), "n": pa.array([len(sets[x]) for x in use], pa.int32()), "vector": pa.array(points, pa.binary()),
                          "tokens": pa.array([own[x][places[x]].astype(np.int64) for x in use], pa.list_(pa.int64())), "places": pa.array([places[x] for x in use], pa.list_(pa.int32()))})
 
+    slim_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("key", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.StringType())])
+
     def rows_of(batches):
+        """What decisions need of each row; the documents stay where they are."""
         for batch in batches:
-            for data in batch.column("data"):
-                yield from cells.from_stream(data.as_buffer()).select([*carry, "n_shingles", name, *([] if key in carry else [key])]).to_batches()
+            for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data")):
+                rows = cells.from_stream(data.as_buffer()).select([key, "n_shingles", name]).combine_chunks()
+                own = [pa.array(np.full(rows.num_rows, number, np.int64)), pa.array(np.arange(rows.num_rows, dtype=np.int32)), *rows.columns]
+                yield from pa.Table.from_arrays(own, names=slim_schema.fieldNames()).to_batches()
 
     stored, asked = cells.split(docs, ask, CHUNK)
+
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Sets of some nodes, computed again where their chunk lies."""
         each = F.concat_ws("=", "name", "node")
@@ -361,26 +375,41 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
 
         return keep(cells.meet(stored, [lists], finish, SETS))
 
-    nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES).dropDuplicates(["name"]).withColumn("node", F.monotonically_increasing_id()))
-    edges = docs.sparkSession.createDataFrame([], EDGES)
-    met = [meetings(nodes, number, percent, part) for number in range(rounds)]
-    if met:
-        sets = sets_of(reduce(DataFrame.unionByName, met))
-        edges = reduce(DataFrame.unionByName, [keep(round_links(m, sets, percent)) for m in met])
-    components = keep(connected_components(edges))
-    pairs = keep(rest_pairs(nodes, components, percent, part))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = edges.unionByName(keep(checked(keep(gathered(pairs, components, part)), sets_of(ends), percent)))
-    components = keep(connected_components(edges).join(nodes.select("node", "name"), "node").select(F.col("name").alias(name), F.col("component").cast("string").alias("component")))
-
-    columns = [*carry, *([] if key in carry else [key])]
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_shingles", T.LongType()), T.StructField(name, T.StringType()), *([] if key in carry else [docs.schema[key]])])
-    rows = stored.mapInArrow(rows_of, schema)
-    wanted, label = label, label or fresh("label", docs)
-    labelled = rows.join(components.withColumnRenamed("component", label), name, "left").withColumn(label, F.coalesce(label, name))
-    least = keep(labelled.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias("component_id")))
-    out = labelled.join(least, label, "left").withColumn("component_id", F.when(F.col(label).isNull(), F.col(key)).otherwise(F.col("component_id")))
-    return out.select(*(c for c in columns if c in carry), "n_shingles", "component_id", *([label] if wanted else []))
+    with WorkTables() as work:
+        nodes = keep(cells.meet(stored, [cells.answer(asked, cells.repeated, 1)], open_nodes, NODES).dropDuplicates(["name"]).withColumn("node", F.monotonically_increasing_id()))
+        edges = docs.sparkSession.createDataFrame([], EDGES)
+        met = [meetings(nodes, number, percent, part) for number in range(rounds)]
+        if met:
+            sets = sets_of(reduce(DataFrame.unionByName, met))
+            edges = reduce(DataFrame.unionByName, [keep(round_links(m, sets, percent)) for m in met])
+        components = keep(connected_components(edges))
+        pairs = keep(rest_pairs(nodes, components, percent, part))
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        edges = edges.unionByName(keep(checked(keep(gathered(pairs, components, part)), sets_of(ends), percent)))
+        components = keep(connected_components(edges).join(nodes.select("node", "name"), "node").select("name", F.col("component").cast("string").alias("component")))
+        slim = stored.mapInArrow(rows_of, slim_schema)
+        labelled = keep(slim.join(components, "name", "left").withColumn("label", F.coalesce("component", "name")).select(*slim_schema.fieldNames()[:4], "label"))
+        order = F.struct(F.isnull("key").alias("unnamed"), "key", "chunk", "row")
+        least = keep(labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("least")))
+        alone = F.col("label").isNull()
+        told = keep(labelled.join(least, "label", "left").select(
+            F.col("chunk").alias("home"), "row", "key", "n_shingles", F.when(alone, F.col("key")).otherwise(F.col("least.key")).alias("component_id"),
+            (alone | ((F.col("least.chunk") == F.col("chunk")) & (F.col("least.row") == F.col("row")))).alias("first")))
+        work.drop(told)
+
+    if set(carry) <= {key}:
+        return told.select(*([F.col("key").alias(key)] if carry else []), "n_shingles", "component_id", *([F.col("first").alias(first)] if first else []))
+    results = ["component_id", *([first] if first else [])]
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_shingles", T.LongType()), T.StructField("component_id", docs.schema[key].dataType), *([T.StructField(first, T.BooleanType())] if first else [])])
+
+    def finish(mine: pa.Table, decided: pa.Table) -> pa.Table:
+        rows = cells.from_stream(mine["data"][0].as_buffer()).select([*carry, "n_shingles"])
+        decided = decided.sort_by("row")  # one for each row
+        for column in results:
+            rows = rows.append_column(column, decided["first" if column == first else column])
+        return rows
+
+    return stored.groupBy("chunk").cogroup(told.groupBy("home")).applyInArrow(finish, schema)
 
 
 SQL_OP8 = r"""

@@ -152,6 +152,27 @@ def test_jaccard_join(spark, part, rounds):
     assert collections.Counter((r.doc_id, r.text, r.n_shingles, r.component_id) for r in got.collect()) == want
 
 
+def test_one_row_of_each_component_is_first(spark):
+    texts = ["one two three four five six seven"] * 3 + ["", None] + ["a b c d e f g h i"] * 2
+    ids = [4, 4, None, 8, 8, None, None]
+    got = nc.near_copies(docs_of(spark, texts, ids), first="stays").collect()
+    assert sorted((r.text or "", r.doc_id or 0, r.component_id or 0) for r in got if r.stays) == [("", 8, 8), ("", 8, 8), ("a b c d e f g h i", 0, 0), (texts[0], 4, 4)]
+    slim = nc.near_copies(docs_of(spark, texts, ids), carry=["doc_id"], first="stays")
+    assert slim.columns == ["doc_id", "n_shingles", "component_id", "stays"] and slim.filter("stays").count() == 4
+
+
+def test_working_tables_go(spark):
+    import os
+
+    from granula.session import WorkTables
+
+    with WorkTables() as held:
+        nc.near_copies(docs_of(spark, corpus(4, 30))).collect()
+    assert len(held.made) == 2 and all(os.path.exists(path.removeprefix("file:")) for _, path, _ in held.made)
+    held.drop()
+    assert not held.made
+
+
 def test_leading_shingles_meet():
     rng = random.Random(5)
     for _ in range(300):

@@ -179,7 +179,7 @@ def test_base_detectors(text):
 
 
 @pytest.mark.parametrize("text,found", [
-    ("write jоhn.doe@exаmple.com now", "jоhn.doe@exаmple.com"), ("bob [at] mail (dot) example dot com", "bob [at] mail (dot) example"), ("ask ann at example dot com please", "ann at example dot com"),
+    ("write jоhn.doe@exаmple.com now", "jоhn.doe@exаmple.com"), ("bob [at] mail (dot) example dot com", "bob [at] mail (dot) example dot com"), ("ask ann at example dot com please", "ann at example dot com"),
     ("call plus four nine one five one two three four five six seven eight", "plus four nine one five one two three four five six seven eight"), ("host one nine two dot one six eight dot one dot two five", "one nine two dot one six eight dot one dot two five"),
     ("card ４１１１ １１１１ １１１１ １１１１.", "４１１１ １１１１ １１１１ １１１１"), ("j​ohn@ex­ample.com", "j​ohn@ex­ample.com"), ("we met at home on the dot, one two three", None), ("plain words", None)])
 def test_disguises(text, found):
