@@ -41,12 +41,22 @@ def test_curve_gaps():
 
 
 def test_pca_frame_rules():
-    assert np.allclose(volumes.frame(np.eye(3)), np.eye(3))
-    for seed in range(20):
-        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(3, 3)))
-        f = volumes.frame(q @ np.diag([5.0, 2.0, 1.0]) @ q.T)
-        assert np.linalg.det(f) == pytest.approx(1) and np.allclose(f.T @ f, np.eye(3))
-        assert np.allclose(np.diag(f.T @ q @ np.diag([5.0, 2.0, 1.0]) @ q.T @ f), [5, 2, 1])
+    turns = [np.linalg.qr(np.random.default_rng(seed).normal(size=(3, 3)))[0] for seed in range(40)]
+    for values in ([5.0, 2.0, 1.0], [4.0, 4.0, 1.0], [4.0, 1.0, 1.0], [2.0, 2.0, 2.0], [1.0, 0.0, 0.0]):
+        covs = np.array([q @ np.diag(values) @ q.T for q in turns])
+        for cov, f in zip(covs, volumes.frames(covs)):
+            assert np.linalg.det(f) == pytest.approx(1) and np.allclose(f.T @ f, np.eye(3))
+            assert np.allclose(np.diag(f.T @ cov @ f), values, atol=1e-9)
+    assert np.allclose(volumes.frames(np.array([np.eye(3) * 7, np.zeros((3, 3))])), np.eye(3))
+
+
+def test_pca_frame_signs():
+    tilt = np.array([[np.cos(0.2), -np.sin(0.2), 0], [np.sin(0.2), np.cos(0.2), 0], [0, 0, 1.0]])
+    upright = volumes.frames(np.array([tilt @ np.diag([5.0, 2.0, 1.0]) @ tilt.T]))[0]
+    assert np.allclose(upright, tilt)  # stays upright whatever the solver's signs
+    level = volumes.frames(np.array([np.diag([4.0, 4.0, 1.0]), np.diag([1.0, 4.0, 4.0])]))
+    assert np.allclose(level[0], np.eye(3))
+    assert np.allclose(level[1], [[0, 0, 1], [1, 0, 0], [0, 1, 0]])  # the plane of y and z first, then x
 
 
 def test_crop_of_an_upright_block(spark):
