@@ -133,20 +133,69 @@ def render(spark, cfg):
     reports.write_png(scene.image(px, w, h, ["r", "g", "b"], (255, 255, 255, 255)), resolve(cfg, cfg.get("output_path", "rendered.png")), w, h)
 
 
+def _view(spec):
+    """(name, what render_view takes, focus) of a view given by name or by vectors."""
+    if isinstance(spec, str):
+        if spec.strip().lower() not in scene.VIEWS:
+            raise ConfigError(f"unknown views: {spec}")
+        return spec.strip().lower(), spec.strip().lower(), None
+    if unknown := sorted(set(spec) - {"name", "view_direction", "focus_point", "up_vector"}):
+        raise ConfigError(f"view has unknown keys: {', '.join(unknown)}")
+    three = {k: [number(v) for v in spec[k]] for k in ("view_direction", "focus_point", "up_vector") if spec.get(k) is not None}
+    if any(len(v) != 3 for v in three.values()) or "name" not in spec or "view_direction" not in three:
+        raise ConfigError("a view of its own needs a name and vectors of three numbers")
+    return spec["name"], (three["view_direction"], three.get("up_vector")), three.get("focus_point")
+
+
+def _colour(cfg, key, sizes=(3,)):
+    if (got := cfg.get(key)) is None:
+        return None
+    if len(got) not in sizes or any(not 0 <= int(v) <= 255 for v in got):
+        raise ConfigError(f"{key} needs {' or '.join(map(str, sizes))} numbers from 0 to 255")
+    return [int(v) for v in got]
+
+
+def _share(value):
+    return min(max(number(value), 0.0), 1.0)
+
+
 def mesh_render(spark, cfg):
-    """VTU document to one PNG per named view."""
+    """VTU document to one PNG per view: filters, colours, opacities, wireframe, highlighted points, cameras."""
     path = resolve(cfg, cfg["input_path"])
+    views = [_view(v) for v in cfg.get("views") or list(scene.VIEWS)]
+    background = ((_colour(cfg, "background", (3, 4)) or [255, 255, 255]) + [255])[:4]
     cells, points = (cut(spark.read.format("vtu").options(path=path, table=t).load()) for t in ("cells", "points"))
-    views = cfg.get("views") or list(scene.VIEWS)
-    if unknown := sorted(set(views) - set(scene.VIEWS)):
-        raise ConfigError(f"unknown views: {', '.join(unknown)}")
     filters = [(f["kind"], {k: v for k, v in f.items() if k != "kind"}) for f in cfg.get("filters") or []]
-    tri = cut(jobs.scene_triangles(cells, points, filters, cfg.get("color_by"), cfg.get("color_mode", "categorical") == "scalar", number(cfg.get("opacity", 1.0))))
+    uniform = _colour(cfg, "uniform_color")
+    by = cfg.get("color_by")
+    if isinstance(by, str) and by.lower() == "uniform":
+        by, uniform = None, uniform or [140, 160, 190]
+    opacity = _share(cfg.get("volume_opacity", cfg.get("opacity", 1.0)))
+    limits = tuple(None if cfg.get(k) is None else number(cfg[k]) for k in ("scalar_min", "scalar_max"))
+    try:
+        overrides = {int(k): _share(v) for k, v in (cfg.get("opacity_overrides") or {}).items()}
+    except ValueError:
+        raise ConfigError("keys of opacity_overrides are whole numbers of regions") from None
+    try:
+        tri = cut(jobs.scene_triangles(cells, points, filters, by, cfg.get("color_mode", "categorical") == "scalar", opacity, _share(cfg.get("face_opacity", opacity)),
+                                       overrides, uniform if by is None else None, limits, bool(cfg.get("show_faces", True))))
+    except ValueError as wrong:
+        raise ConfigError(str(wrong)) from None
+    segments = cut(jobs.wire_segments(cells, points, filters, cfg.get("max_wireframe_edges"))) if cfg.get("wireframe") else None
+    marks = [[number(v) for v in p] for p in cfg.get("highlight_points") or []]
+    if any(len(p) != 3 for p in marks):
+        raise ConfigError("highlight_points are lists of three numbers")
+    markers = spark.createDataFrame([(i, *p, 220, 20, 20) for i, p in enumerate(marks)], "sid long, x double, y double, z double, r int, g int, b int") if marks else None
+    frame_box = cfg.get("frame_box")
+    box = ([number(v) for v in frame_box["min"]], [number(v) for v in frame_box["max"]]) if frame_box else jobs.extent(points)
+    lens = {"projection": cfg.get("projection", "orthographic"), "fov_degrees": number(cfg.get("perspective_fov_degrees", 45.0)), "padding": number(cfg.get("fit_padding", 0.05)),
+            "distance": None if cfg.get("camera_distance") is None else number(cfg["camera_distance"])}
     w, h = int(cfg.get("width", 1024)), int(cfg.get("height", 1024))
     out = Path(resolve(cfg, cfg["output_dir"]))
-    for view in views:
-        reports.write_png(jobs.render_view(tri, view, w, h), str(out / f"{view}.png"), w, h)
-    return {"triangles": tri.count(), "views": list(views)}
+    for name, view, focus in views:
+        lines = jobs.render_view(tri, view, w, h, background, number(cfg.get("ambient", 0.25)), box, segments, markers, focus=focus, **lens)
+        reports.write_png(lines, str(out / f"{name}.png"), w, h)
+    return {"triangles": tri.count(), "views": [name for name, *_ in views], **({"segments": segments.count()} if segments is not None else {})}
 
 
 def _array(spark, cfg, key, view="float"):

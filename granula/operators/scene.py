@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import solids as S
 from ..functions.vec import V, add, cross, div, dot, lit3, norm, scale, sub, vec
+from ..session import cut
 from .gridjoin import contain_join
 from .ordered import chains, numbered, running
 
@@ -239,30 +240,77 @@ def merge_hits(hits: DataFrame, keys: Sequence[str], tol: float, rank: str, payl
     return lists.select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.*")
 
 
-def composite(hits: DataFrame, keys: Sequence[str], alpha: str, channels: Sequence[str], order: Sequence[str]) -> DataFrame:
+def composite(hits: DataFrame, keys: Sequence[str], alpha: str, channels: Sequence[str], order: Sequence[str], depth: str | None = None) -> DataFrame:
     """Front-to-back blending: sum of T * alpha * colour, stopping once T < 1/512.
 
     T before a hit is the product of (1 - alpha) of the hits in front, as a running sum
-    of logarithms; an opaque hit hides everything behind it.
+    of logarithms; an opaque hit hides everything behind it. ``depth`` adds a column: the
+    first of ``order`` at the hit behind which nothing shows, NULL where light passes.
     """
     a = F.col(alpha)
     logs = hits.withColumn("_a", F.when(a < 1, F.ln(F.greatest(1 - a, F.lit(1e-300)))).otherwise(F.lit(-1e4)))
     work = running(logs, list(keys), list(order), {"_l": "_a"}, inclusive=False)
     seen = work.withColumn("_T", F.exp("_l")).filter(F.col("_T") >= STOP_TRANSMITTANCE)
     weight = F.col("_T") * a
+    closed = [F.min(F.when(F.col("_T") * (1 - a) < STOP_TRANSMITTANCE, F.col(order[0]))).alias(depth)] if depth else []
     return seen.groupBy(*keys).agg(
-        *(F.sum(weight * F.col(c)).alias(c) for c in channels), F.sum(weight).alias("alpha"), F.count("*").alias("layers"))
+        *(F.sum(weight * F.col(c)).alias(c) for c in channels), F.sum(weight).alias("alpha"), F.count("*").alias("layers"), *closed)
+
+
+def overlay_lines(segments: DataFrame, cam: Camera, width: int, height: int, depths: DataFrame, order: str, attrs: Sequence[str]) -> DataFrame:
+    """Pixels that line segments (ax..bz) paint: px, py, attrs of the segment that comes last by ``order``.
+
+    A segment is stepped by at most a pixel in screen space; only the steps that can fall on the
+    image become rows, so a line that runs far outside costs no more than one across it. A step
+    shows where it lies in front of the opaque depth (``depths``: px, py, depth; NULL or missing
+    is open) or behind it by less than the bias, a ten-thousandth of the depth range.
+    """
+    ends = {p: cam.project(vec(p), width, height) for p in "ab"}
+    cols = [c.alias(f"_{p}{i}") for p in "ab" for i, c in enumerate(ends[p])]
+    flat = cut(segments.select(F.col(order).alias("_order"), *attrs, *cols))  # else the projection is spelled out in every use
+    if cam.perspective:
+        near = max(cam.distance - 2 * cam.radius, cam.distance * 1e-4)
+        flat = flat.filter((F.col("_a2") > near * 0.25) & (F.col("_b2") > near * 0.25))
+    d = [F.col(f"_b{i}") - F.col(f"_a{i}") for i in range(3)]
+    flat = flat.withColumn("_n", F.greatest(F.ceil(F.greatest(F.abs(d[0]), F.abs(d[1]))), F.lit(1)).cast("double"))
+    flat = flat.withColumns({f"_r{i}": d[i] / F.col("_n") for i in range(2)})
+    first, last = F.lit(0.0), F.col("_n")
+    for i, size in ((0, width), (1, height)):  # steps s with -1 <= a + (b - a) s / n <= size
+        here, rate = F.col(f"_a{i}"), F.col(f"_r{i}")
+        one, two = div(-1.0 - here, rate), div(float(size) - here, rate)
+        first = F.greatest(first, F.when(rate == 0, F.lit(0.0)).otherwise(F.least(one, two)))
+        last = F.least(last, F.when(rate == 0, F.when((here < -1) | (here > size), F.lit(-1.0)).otherwise(F.col("_n"))).otherwise(F.greatest(one, two)))
+    flat = flat.withColumn("_s0", F.floor(first)).withColumn("_s1", F.least(F.ceil(last), F.col("_n").cast("bigint"))).filter("_s0 <= _s1")
+    steps = flat.withColumn("_s", F.explode(F.sequence("_s0", "_s1")))
+    f = F.col("_s") / F.col("_n")
+    at = [F.col(f"_a{i}") + d[i] * f for i in range(3)]
+    dots = steps.select("_order", "_s", *attrs, F.round(at[0]).cast("bigint").alias("px"), F.round(at[1]).cast("bigint").alias("py"), at[2].alias("_z"))
+    dots = dots.filter((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < width) & (F.col("py") < height))
+    shown = dots.join(depths.select("px", "py", F.col("depth").alias("_depth")), ["px", "py"], "left").filter(F.col("_depth").isNull() | (F.col("_z") - cam.depth_range * 1e-4 <= F.col("_depth")))
+    return shown.groupBy("px", "py").agg(F.max(F.struct("_order", "_s", *attrs)).alias("_m")).select("px", "py", *(F.col("_m")[a].alias(a) for a in attrs))
+
+
+def overlay_markers(markers: DataFrame, cam: Camera, width: int, height: int, order: str, attrs: Sequence[str], arm: int = 3) -> DataFrame:
+    """Pixels of upright crosses at points x, y, z (never hidden): px, py, attrs of the marker that comes last."""
+    fx, fy, depth = cam.project(vec(""), width, height)
+    at = markers.select(F.col(order).alias("_order"), *attrs, F.round(fx).cast("bigint").alias("cx"), F.round(fy).cast("bigint").alias("cy"), depth.alias("_z"))
+    if cam.perspective:
+        at = at.filter(F.col("_z") > 0)
+    cross_ = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for k in range(-arm, arm + 1) for a, b in ((k, 0), (0, k))))
+    dots = at.withColumn("_d", F.explode(cross_)).select("_order", *attrs, (F.col("cx") + F.col("_d.dx")).alias("px"), (F.col("cy") + F.col("_d.dy")).alias("py"))
+    dots = dots.filter((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < width) & (F.col("py") < height))
+    return dots.groupBy("px", "py").agg(F.max(F.struct("_order", *attrs)).alias("_m")).select("px", "py", *(F.col("_m")[a].alias(a) for a in attrs))
 
 
 def shade(cosine: Column, ambient: float) -> Column:
     return cosine * (1.0 - ambient) + ambient
 
 
-def image(pixels: DataFrame, width: int, height: int, channels: Sequence[str], background: Sequence[int]) -> DataFrame:
-    """One row of RGBA bytes per image line: py, line (BINARY, width * 4 bytes)."""
+def image(pixels: DataFrame, width: int, height: int, channels: Sequence[str], background: Sequence[int], alpha: str | None = None) -> DataFrame:
+    """One row of RGBA bytes per image line: py, line (BINARY, width * 4 bytes); ``alpha`` names the opacity of pixels (else the background's)."""
     grid = pixels.sparkSession.range(width * height).select((F.col("id") % width).alias("px"), F.floor(F.col("id") / width).alias("py"))
     full = grid.join(pixels, ["px", "py"], "left")
-    comps = [F.coalesce(F.col(c).cast("int"), F.lit(int(b))) for c, b in zip(channels, background)] + [F.lit(int(background[3]))]
+    comps = [F.coalesce(F.col(c).cast("int"), F.lit(int(b))) for c, b in zip(channels, background)] + [F.coalesce(F.col(alpha).cast("int") if alpha else F.lit(None), F.lit(int(background[3])))]
     hexed = F.concat(*(F.lpad(F.hex(F.greatest(F.least(c, F.lit(255)), F.lit(0))), 2, "0") for c in comps))
     lines = full.withColumn("_h", hexed).groupBy("py").agg(F.array_sort(F.collect_list(F.struct("px", "_h"))).alias("_l"))
     return lines.select("py", F.unhex(F.array_join(F.transform("_l", lambda s: s["_h"]), "")).alias("line"))

@@ -163,6 +163,28 @@ def render_coverage(spark, sf):
     return out.groupBy("py").agg(F.sum("layers").alias("layers"), F.round(F.avg("alpha"), 6).alias("alpha"))
 
 
+_SIDE, _FRAME = 64, ((0.0313, 0.0313, 0.0), (128.0313, 128.0313, 640.0))
+_TOP = scene.camera(*_FRAME, *scene.VIEWS["top"], _SIDE, _SIDE, padding=0.0)
+_EYE, _HALF = [float(v) for v in _TOP.position], [float(_TOP.half_width), float(_TOP.half_height)]
+_AT = {p: {"x": f"(({p}x - {_EYE[0]}) / {_HALF[0]} + 1.0) * {_SIDE / 2} - 0.5", "y": f"(1.0 - ({p}y - {_EYE[1]}) / {_HALF[1]}) * {_SIDE / 2} - 0.5"} for p in "ab"}
+
+
+@query("scene_overlay", f"""WITH {D.BODIES_SQL}, {D.PRIMS_SQL}, px AS (SELECT x.i AS px, y.i AS py, {_EYE[0]} + ((x.i + 0.5) / {_SIDE} * 2.0 - 1.0) * {_HALF[0]} AS x,
+  {_EYE[1]} + (1.0 - (y.i + 0.5) / {_SIDE} * 2.0) * {_HALF[1]} AS y FROM unnest(range({_SIDE})) x(i), unnest(range({_SIDE})) y(i)),
+ dp AS (SELECT px, py, min({_EYE[2]} - (cz + hz)) AS depth FROM px JOIN bodies ON status = 'P' AND abs(px.x - cx) < hx AND abs(px.y - cy) < hy AND cz + hz < {_EYE[2]} GROUP BY px, py),
+ e AS (SELECT pid, {', '.join(f"{_AT[p][k]} AS {p}u{k}" for p in 'ab' for k in 'xy')}, {_EYE[2]} - az AS d FROM prims),
+ n AS (SELECT *, greatest(ceil(greatest(abs(bux - aux), abs(buy - auy))), 1) AS n FROM e),
+ s AS (SELECT pid, s, round(aux + (bux - aux) * (s / n)) AS px, round(auy + (buy - auy) * (s / n)) AS py, d FROM n, unnest(range(CAST(n AS BIGINT) + 1)) r(s)),
+ v AS (SELECT pid, CAST(s.px AS BIGINT) AS px, CAST(s.py AS BIGINT) AS py FROM s LEFT JOIN dp ON s.px = dp.px AND s.py = dp.py WHERE s.px BETWEEN 0 AND {_SIDE - 1} AND s.py BETWEEN 0 AND {_SIDE - 1} AND (depth IS NULL OR d - {float(_TOP.depth_range)} * 1e-4 <= depth))
+SELECT px, py, max(pid) AS pid FROM v GROUP BY px, py""")
+def scene_overlay(spark, sf):
+    """Lines of all parts over the opaque boxes of pending orders, seen from above: the last visible line of each pixel."""
+    boxes = cut(D.triangles(D.box_bodies(spark, sf).filter("status = 'P'"))).withColumns({"alpha": F.lit(1.0), "c": F.lit(0.0)})
+    hits = scene.ray_hits(boxes, _TOP, _SIDE, _SIDE, ["alpha", "c"])
+    depths = scene.composite(hits, ["px", "py"], "alpha", ["c"], ["t", "fid"], depth="depth")
+    return scene.overlay_lines(D.part_simplices(spark, sf), _TOP, _SIDE, _SIDE, cut(depths), "pid", ["pid"])
+
+
 # ---------------------------------------------------------------- tetrahedra
 def _skewed_tets(spark, sf):
     """Part tetrahedra, some flattened or turned inside out."""
