@@ -71,10 +71,21 @@ def extent(tri) -> tuple[list[float], list[float]]:
 
 
 def measure(spark, cfg):
+    """Volume fraction and S2 curves of a mesh as a text file: exact, Monte Carlo or both."""
     tri = read_mesh(spark, resolve(cfg, cfg["stl_path"]))
-    lo, hi = box_of(cfg["bounding_box"]) if cfg.get("bounding_box") else extent(tri)
-    vf, s2 = jobs.measure(tri, lo, hi, int(number(cfg["r_max"])), number(cfg["voxel_pitch"]))
-    Path(resolve(cfg, cfg["output_path"])).write_text(reports.measurement_text(vf.first()[0], {"exact": s2}))
+    given = cfg.get("bounding_box") or cfg.get("stl_bounding_box")
+    lo, hi = box_of(given) if given else extent(tri)
+    asked = str(cfg.get("mc_method", "exact")).strip().lower()
+    method = asked if asked in ("exact", "both") else "monte_carlo"
+    try:
+        got = jobs.measure(tri, lo, hi, int(number(cfg["r_max"])), number(cfg["voxel_pitch"]), method, int(number(cfg.get("mc_samples") or 10_000)), int(cfg.get("seed", 0)))
+    except ValueError as wrong:
+        raise ConfigError(str(wrong)) from None
+    fraction = got.volume_fraction.first()[0]
+    path = Path(resolve(cfg, cfg["output_path"]))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(reports.measurement_text(fraction, got.curves, got.l2.first()[0] if got.l2 is not None else None))
+    return {"particles": got.particles, "volume_fraction": fraction, "method": method}
 
 
 def split_filter(spark, cfg):

@@ -96,10 +96,14 @@ def write_json(path: str, value) -> None:
         h.write(json.dumps(value, indent=2) + "\n")
 
 
-def measurement_text(volume_fraction: float, curves: dict[str, DataFrame]) -> str:
-    """Volume fraction and S2 curves, six decimals."""
-    lines = [f"Volume Fraction: {volume_fraction:.6f}", "Backend: spark"]
+def measurement_text(volume_fraction: float, curves: dict[str, DataFrame], l2: float | None = None) -> str:
+    """Volume fraction, S2 curves by method and, for two methods, their distance; six decimals."""
+    lines = [f"Volume Fraction: {volume_fraction:.6f}", "Compute Backend: " + ", ".join(f"{name}=spark" for name in curves), f"Method: {'both' if len(curves) == 2 else next(iter(curves))}"]
     for name, curve in curves.items():
-        lines.append(f"S2 ({name}):")
-        lines += [f"{r['r']}: {r['s2']:.6f}" for r in curve.orderBy("r").select("r", "s2").toLocalIterator()]
+        values = [(r["r"], r["s2"]) for r in curve.orderBy("r").select("r", "s2").toLocalIterator()]
+        lines.append(f"S2(0)-VF diff [{name}]: {abs(values[0][1] - volume_fraction):.6f}")
+        lines.append("S2 Values:" if len(curves) == 1 else f"S2 Values [{name}]:")
+        lines += [f"{r}: {v:.6f}" for r, v in values]
+    if l2 is not None:
+        lines.append(f"L2 error [exact vs monte_carlo]: {l2:.6f}")
     return "\n".join(lines) + "\n"
