@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import solids as S
 from ..functions.vec import div, norm2, scale, sub, vec
+from ..session import cut
 from .components import connected_components
-from .ordered import running
+from .ordered import numbered, running
 
 CORNERS = ("a", "b", "c")
 # A shell whose signed sum vanishes to this share of its absolute sum encloses nothing; an
@@ -194,3 +195,27 @@ def map_corners(tri: DataFrame, fn) -> DataFrame:
         v = fn(vec(p))
         new.update({p + k: c for k, c in zip("xyz", v)})
     return tri.select(*(new[c].alias(c) if c in new else F.col(c) for c in tri.columns))
+
+
+def digest(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), quantum: float = 1e6, block: int = 4096) -> DataFrame:
+    """SHA-256 of each mesh's geometry: keys, faces, digest.
+
+    The same for the same set of oriented faces, however they are numbered, ordered or partitioned:
+    a face is its three corners, rounded to 1 / ``quantum``, from the least corner on in its winding; faces
+    are hashed, sorted by hash, and hashed again in blocks of ``block``, and so on up to one hash. No task
+    holds more than one block of a mesh. Repeated faces count; coordinates must be finite.
+    """
+    corner = {p: [F.round(F.col(p + k) * quantum).cast("bigint") for k in "xyz"] for p in "abc"}
+    turns = F.array_min(F.array(*(F.array(*(c for p in turn for c in corner[p])) for turn in ("abc", "bca", "cab"))))
+    leaves = tri.select(*keys, F.sha2(F.array_join(turns, ","), 256).alias("h"))
+    ranked = cut(numbered(leaves, list(keys), ["h"], "n").withColumn("b", F.floor((F.col("n") - 1) / block)))
+    most = ranked.agg(F.max("n")).first()[0] or 0
+    level = ranked.select(*keys, "b", "h", "n")
+    while True:
+        items = F.array_sort(F.collect_list(F.struct("n", "h")))
+        level = level.groupBy(*keys, "b").agg(F.sha2(F.array_join(F.transform(items, lambda i: i["h"]), ""), 256).alias("h"))
+        most = -(-most // block)
+        if most <= 1:
+            break
+        level = cut(level.select(*keys, F.floor(F.col("b") / block).alias("b"), "h", F.col("b").alias("n")))
+    return level.select(*keys, F.col("h").alias("digest")).join(tri.groupBy(*keys).agg(F.count("*").alias("faces")), list(keys)).select(*keys, "faces", "digest")

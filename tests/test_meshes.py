@@ -99,3 +99,24 @@ def test_split_filter_job(spark):
     kept, report = split_filter(tri, max_aspect=2.0, volume=(2.0, -1.0))
     assert [r["volume"] for r in kept.collect()] == [pytest.approx(8)]
     assert [(r["rule"], r["before"], r["after"]) for r in report.orderBy("step").collect()] == [("aspect", 3, 2), ("volume", 2, 1)]
+
+
+def test_digest_depends_on_geometry_alone(spark):
+    ball = icosphere(2)
+    rng = np.random.default_rng(4)
+    turned = np.stack([np.roll(t, k, axis=0) for t, k in zip(ball, rng.integers(0, 3, len(ball)))])[rng.permutation(len(ball))]
+    flipped, moved = ball[:, ::-1], ball + [0, 0, 2e-6]
+    tri = spark.createDataFrame(frame({0: ball, 1: turned, 2: flipped, 3: moved, 4: ball[:-1]}))
+    for block in (4096, 7, 2):
+        a, b = ({r.part: (r.faces, r.digest) for r in meshes.digest(t, ["part"], block=block).collect()} for t in (tri, tri.repartition(9, "fid")))
+        assert a == b and a[0] == a[1] and a[0][0] == 320 and len({d for _, d in a.values()}) == 4
+    assert meshes.digest(tri.limit(0), ["part"]).collect() == []
+
+
+def test_sieve_passes_only_undecided_pairs_on(spark):
+    bodies = {0: icosphere(2), 1: icosphere(2, (2.08, 0, 0)), 2: icosphere(2, (1.6, 1.6, 0.1)), 3: box((-9, -9, -9), (-8, 9, 9)), 4: box((-7.9, -9, -9), (-7, 9, 9)), 5: icosphere(1, (0.1, 0, 0), 0.2)}
+    stages, close = collision.sieve(spark.createDataFrame(frame(bodies)), "part", 0.15)
+    got = {r.stage: (r.seen, r.passed) for r in stages.collect()}
+    assert got["box"][0] == got["sphere"][1] and got["exact"][0] == got["box"][1] and got["exact"][1] == close.count()
+    assert {(r.a, r.b) for r in close.collect()} == {(0, 1), (0, 5), (1, 2), (3, 4)}
+    assert got["sphere"][0] > got["sphere"][1] and got["box"][0] > got["box"][1]
