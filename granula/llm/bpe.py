@@ -11,7 +11,8 @@ strings hold none, so the full library applied to one word gives the ids it give
 inside a text. ``check_word_split`` proves this for the tokenizer at hand before use.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows
-stay rows of their own; other columns pass through.
+stay rows of their own; other columns pass through, whatever their names; a task holds a very long
+text as positions into its distinct words; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ are given out in parts of whole turns, so no conversation has to fit into memory
 the encoding too, so parts encode as the whole would.
 
 Defined cases: null texts and roles are empty; turns of the same number keep the order of role,
-then text; repeated rows are turns of their own; a null id is a conversation like others.
+then text; repeated rows are turns of their own; a null id is a conversation like others; columns besides those named
+are not read, whatever their names; an empty table gives no conversations.
 """
 
 from __future__ import annotations

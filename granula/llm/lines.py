@@ -12,7 +12,8 @@ in lower case, hashed to 128 bits. A probe is certain of its own line: it was in
 
 Defined cases: null counts as one empty line and stays null, empty stays empty; empty keys are
 never dropped; a repeated row counts as one more document; columns named like the results are
-replaced; an empty table gives an empty one.
+replaced; a key found in just as many documents as the limit is dropped; a task holds one very long text
+whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations

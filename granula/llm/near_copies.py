@@ -17,7 +17,8 @@ count vectors bounds the overlap of pairs and exact intersections decide.
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are their
 own component; with fewer words than a shingle the whole sequence is the one shingle; repeated
 rows and equal texts are one component; ids may repeat (the component is the smallest id, null
-only where all are null); columns named like the results are replaced.
+only where all are null); columns named like the results are replaced; sets of very long texts are whole;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations

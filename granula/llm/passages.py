@@ -11,7 +11,8 @@ once per chunk.
 
 Defined cases: null and empty texts have no words; texts shorter than a window keep all words;
 repeated rows repeat all their windows; overlapping windows of one text count as repeats; a null
-text stays null; columns named like the results are replaced.
+text stays null; columns named like the results are replaced; a
+task holds one very long text whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations

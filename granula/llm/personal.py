@@ -9,7 +9,8 @@ spans always stay.
 
 Defined cases: null and empty texts hold nothing; spans count code points, ends exclusive; a disguised
 find that touches a base span of its kind is not added; repeated rows repeat their spans;
-columns named like the results are replaced, others pass through.
+columns named like the results are replaced, others pass through; where finds of a kind overlap, the leftmost
+stays; a task holds one very long text whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ n_dup_lines (lines with a word equal to an earlier line), n_repeat_words (words
 hash; only where a hash repeats are the windows themselves sorted and compared.
 
 Defined cases: null and empty texts have no words and fail the base; repeated rows are judged
-alike; columns with the names of the results are replaced, others pass through.
+alike; columns with the names of the results are replaced, others pass through; very long texts are one
+row like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations

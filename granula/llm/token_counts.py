@@ -14,7 +14,7 @@ remembers the token count of units it has met; new units go to the tokenizers li
 at a time, and their tokens are assigned by offsets.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and ties stay
-rows of their own; other columns pass through, whatever their names.
+rows of their own; other columns pass through, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ over blocks like any other.
 Defined cases: vectors that are null or hold null, infinite or NaN components take no part;
 shorter vectors count as padded with zeros, an empty one scores 0 with all; of rows with
 the same id each is a row of its own, except that a query never meets rows of its own id;
-components are floored to 64-bit whole numbers, scores are exact between -2 ** 62 and 2 ** 62.
+components are floored to 64-bit whole numbers, scores are exact between -2 ** 62 and 2 ** 62;
+equal scores go to the smaller id; other columns are not read, whatever their names; no queries or no
+rows give an empty result.
 """
 
 from __future__ import annotations
