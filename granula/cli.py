@@ -78,7 +78,7 @@ def measure(spark, cfg):
     asked = str(cfg.get("mc_method", "exact")).strip().lower()
     method = asked if asked in ("exact", "both") else "monte_carlo"
     try:
-        got = jobs.measure(tri, lo, hi, int(number(cfg["r_max"])), number(cfg["voxel_pitch"]), method, int(number(cfg.get("mc_samples") or 10_000)), int(cfg.get("seed", 0)))
+        got = jobs.measurement(tri, lo, hi, int(number(cfg["r_max"])), number(cfg["voxel_pitch"]), method, int(number(cfg.get("mc_samples") or 10_000)), int(cfg.get("seed", 0)))
     except ValueError as wrong:
         raise ConfigError(str(wrong)) from None
     fraction = got.volume_fraction.first()[0]
