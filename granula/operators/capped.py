@@ -103,7 +103,7 @@ def _caps(edges: DataFrame, keys: list[str], axis: int, sign: int, holes: str) -
         whole = F.col("balance") == 0 if holes == "keep" else F.col("degree") % 2 == 0
         label = cut(points.join(loops, [*keys, "node"]))
         fans = label.groupBy(*keys, "component").agg(F.min(whole).alias("whole"), *mean)
-        parts = net.join(label.select(*keys, F.col("node").alias("u"), "component"), [*keys, "u"]).join(cut(fans.filter("whole")), [*keys, "component"]).drop("component")
+        parts = net.join(label.select(*keys, F.col("node").alias("u"), "component"), [*keys, "u"]).join(cut(fans.filter("whole")), [*keys, "component"]).drop("component", "whole")
         centred = centred.unionByName(parts) if centred is not None else parts
     if holes == "keep":
         back, times = F.col("net") < 0, F.abs("net").cast("int")
