@@ -56,7 +56,7 @@ def box_of(values) -> tuple[list[float], list[float]]:
 
 def read_mesh(spark, path: str):
     """A file, or all files of a folder as one mesh, welded."""
-    rows = spark.read.format("stl").option("path", path).load()
+    rows = stl.load(spark, path)
     whole = numbered(rows, [], ["path", "fid"], "n").withColumn("fid", F.col("n").cast("bigint") - 1).withColumn("mesh", F.lit(0))
     return cut(stl.indexed(whole, "mesh"))
 

@@ -190,3 +190,68 @@ def test_particle_records_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "entity_id string, acceptance_index bigint, particle bigint, attempt int, shape int, scale double, quaternion struct<w:double,x:double,y:double,z:double>, translation array<double>, equivalent_diameter double, volume double")
     reports.write_records(df, str(tmp_path / "r"))
     assert sorted(map(tuple, reports.read_records(spark, str(tmp_path / "r")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def _text(faces, end="\n"):
+    return "solid t" + end + "".join("facet normal 0 0 0" + end + "outer loop" + end + "".join(f"  vertex {x!r} {y!r} {z!r}{end}" for x, y, z in t) + "endloop" + end + "endfacet" + end for t in faces.tolist()) + "endsolid" + end
+
+
+@pytest.mark.parametrize("step,end", [(37, "\n"), (256, "\r\n"), (1 << 20, "\n")])
+def test_text_stl_cut_anywhere(spark, tmp_path, monkeypatch, step, end):
+    """Pieces end inside facets, lines and numbers; ids and faces are those of the whole file."""
+    faces = icosphere(0).reshape(-1, 3, 3)
+    odd = "vertex 1 2\nvertex 1 2 3 4\nvertex a b c\n  vertex 9 9 9\n"  # three lines that do not count, one vertex too many
+    (tmp_path / "a.stl").write_text(_text(faces, end) + odd, newline="")
+    (tmp_path / "b.stl").write_bytes(stl.encode(box((0, 0, 0), (1, 2, 3))))
+    monkeypatch.setattr(stl, "SPLIT_BYTES", step)
+    monkeypatch.setattr(stl, "SPLIT_RECORDS", 5)
+    got = stl.load(spark, str(tmp_path)).toPandas().sort_values(["path", "fid"])
+    a = got[got.path.str.endswith("a.stl")]
+    assert a.fid.tolist() == list(range(20)) and np.array_equal(a[stl.COLUMNS].to_numpy(), faces.reshape(-1, 9))
+    assert got[got.path.str.endswith("b.stl")].fid.tolist() == list(range(12))
+
+
+def test_pieces_of_text_add_up_for_every_length(tmp_path):
+    """Without Spark: cuts of every length from 1 to 120 bytes give the same faces."""
+    faces = icosphere(0).reshape(-1, 3, 3)[:4]
+    path = tmp_path / "a.stl"
+    path.write_text(_text(faces))
+    size = path.stat().st_size
+    for step in range(1, 121):
+        before, parts = 0, []
+        for s in range(0, size, step):
+            parts.append(stl.faces_of(str(path), s, min(s + step, size), before))
+            with open(path, "rb") as h:
+                before += len(stl.vertices(stl.lines_of(h, s, min(s + step, size))))
+        assert np.array_equal(np.concatenate(parts), faces), step
+
+
+def test_text_that_is_binary_after_all(spark, tmp_path):
+    """A binary file whose header looks like text has no vertex lines and is read as binary; a short one is an error."""
+    data = bytearray(stl.encode(box((0, 0, 0), (1, 1, 1)), "solid facet vertex"))
+    (tmp_path / "a.stl").write_bytes(data)
+    assert stl.load(spark, str(tmp_path / "a.stl")).count() == 12
+    assert spark.read.format("stl").option("path", str(tmp_path / "a.stl")).load().count() == 12
+    (tmp_path / "b.stl").write_text("solid facet vertex\n")
+    with pytest.raises(Exception, match="too short"):
+        stl.load(spark, str(tmp_path / "b.stl")).count()
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_one_file_from_many_tasks(spark, tmp_path, text):
+    faces = np.concatenate([icosphere(0).reshape(-1, 9), box((0, 0, 0), (1, 2, 3)).reshape(-1, 9)])
+    pdf = pd.DataFrame(faces, columns=stl.COLUMNS).assign(fid=np.arange(32) * 3, path=[str(tmp_path / "d" / ("a.stl" if i < 20 else "b.stl")) for i in range(32)])
+    files = stl.write_files(spark.createDataFrame(pdf).repartition(5), text=text)
+    assert {r["path"][-5:] for r in files.collect()} == {"a.stl", "b.stl"}
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["a.stl", "b.stl"]
+    back = stl.load(spark, str(tmp_path / "d")).toPandas().sort_values(["path", "fid"])
+    want = faces if text else faces.astype("f4").astype(float)
+    assert np.array_equal(back[stl.COLUMNS].to_numpy(), want) and back.fid.tolist() == [*range(20), *range(12)]
+
+
+def test_writing_nothing_and_nulls(spark, tmp_path):
+    pdf = pd.DataFrame(np.zeros((1, 9)), columns=stl.COLUMNS).assign(fid=0, path=str(tmp_path / "a.stl"))
+    one = spark.createDataFrame(pdf)
+    assert stl.write_files(one.filter("false")).count() == 0 and not list(tmp_path.iterdir())
+    with pytest.raises(Exception, match="null"):
+        stl.write_files(one.withColumn("by", F.lit(None).cast("double")))
