@@ -122,13 +122,17 @@ def crop(spark, cfg):
     i, o = cfg["input"], cfg["output"]
     raw = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in (i.get("raw") or {}).items()}
     opts = {"path": resolve(cfg, i["path"]), "slice_start": str(i.get("slice_start", -1)), "slice_end": str(i.get("slice_end", -1)), **raw}
-    rows = spark.read.format("raw_slices" if i["type"] == "raw" else "tiff_slices").options(**opts).load()
+    rows = (spark.read.format("raw_slices").options(**opts).load() if i["type"] == "raw" else
+            slices.load_tiff(spark, opts["path"], int(opts["slice_start"]), int(opts["slice_end"])))
     out = jobs.crop(cut(slices.volume_rows(rows)), cfg.get("interpolation", "trilinear"), int(cfg.get("edge_trim", 0)))
     from .operators.volumes import dims
 
     out = cut(out)
-    return {"files": slices.write_slices(out.join(dims(out), "vol"), resolve(cfg, o["path"]), bits=int(raw.get("bits", 16)), signed=raw.get("signed") == "true",
-                                         prefix=o.get("folder_prefix", "slice")).count()}
+    out, target = out.join(dims(out), "vol"), resolve(cfg, o["path"])
+    kept = {"bits": int(raw.get("bits", 16)), "signed": raw.get("signed") == "true"}
+    if target.lower().endswith((".tif", ".tiff")):
+        return {"files": slices.write_stacks(out, F.lit(target), **kept).count()}
+    return {"files": slices.write_slices(out, target, prefix=o.get("folder_prefix", "slice"), **kept).count()}
 
 
 def render(spark, cfg):

@@ -255,3 +255,47 @@ def test_writing_nothing_and_nulls(spark, tmp_path):
     assert stl.write_files(one.filter("false")).count() == 0 and not list(tmp_path.iterdir())
     with pytest.raises(Exception, match="null"):
         stl.write_files(one.withColumn("by", F.lit(None).cast("double")))
+
+
+def _volume(spark, vol="a", nx=3, ny=4, nz=3):
+    d = spark.range(nx * ny * nz).withColumn("vol", F.lit(vol)).withColumn("v", F.col("id") * 7 - 20)
+    return d.select("vol", (F.col("id") % nx).alias("x"), (F.floor(F.col("id") / nx) % ny).alias("y"), F.floor(F.col("id") / (nx * ny)).alias("z"), "v", F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(nz).alias("nz"))
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_stack_of_pages(spark, tmp_path, monkeypatch, big):
+    """Files of several pages come back the same, in both forms, whatever the bands; the other reader agrees."""
+    monkeypatch.setattr(slices, "BAND", 6)
+    if big:
+        monkeypatch.setattr(slices, "CLASSIC_BYTES", 10)
+    d = _volume(spark).unionByName(_volume(spark, "b"))
+    files = slices.write_stacks(d.repartition(5), F.concat(F.lit(str(tmp_path) + "/"), F.col("vol"), F.lit(".tif")), bits=32, signed=True)
+    assert files.count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["a.tif", "b.tif"]
+    data = (tmp_path / "a.tif").read_bytes()
+    assert data[2] == (43 if big else 42) and len(slices.tiff_pages(data)) == 3
+    want = {(z + 3 * f, y, x): (x + 3 * y + 12 * z) * 7 - 20 for f in range(2) for z in range(3) for y in range(4) for x in range(3)}
+    both = slices.load_tiff(spark, str(tmp_path)), spark.read.format("tiff_slices").option("path", str(tmp_path)).load()
+    for back in both:
+        assert {(r["z"], r["y"], r["x"]): r["v"] for r in back.collect()} == want
+    part = slices.load_tiff(spark, str(tmp_path), 2, 3).collect()
+    assert {(r["z"] + 2, r["y"], r["x"]): r["v"] for r in part} == {k: v for k, v in want.items() if k[0] in (2, 3)}
+
+
+def test_stack_gaps_repeats_and_refusals(spark, tmp_path):
+    to = lambda n: F.lit(str(tmp_path / n))
+    d = _volume(spark).filter("v > 0")
+    few = d.filter("z = 1 AND y = 2").withColumn("v", F.when(F.col("x") > 0, F.col("v")))
+    assert slices.write_stacks(few.unionByName(few.withColumn("v", F.lit(1))), to("few.tiff"), bits=16).count() == 1
+    got = {(r["z"], r["y"], r["x"]): r["v"] for r in slices.load_tiff(spark, str(tmp_path / "few.tiff")).collect() if r["v"]}
+    assert got == {(1, 2, x): (x + 18) * 7 - 20 if x else 1 for x in range(3)}
+    assert slices.write_stacks(d.filter("false"), to("none.tiff")).count() == 0
+    with pytest.raises(Exception, match="do not fit"):
+        slices.write_stacks(_volume(spark), to("bad.tiff"), bits=8)
+    for bad in (d.withColumn("nz", F.lit(2)), d.withColumn("nx", F.col("x") + 3), d.withColumn("x", F.lit(None).cast("bigint"))):
+        with pytest.raises(ValueError, match="outside"):
+            slices.write_stacks(bad, to("bad.tiff"), bits=16)
+    with pytest.raises(ValueError, match="does not fit"):
+        slices.load_tiff(spark, str(tmp_path / "few.tiff"), 1, 3)
+    slices.write_stacks(_volume(spark, nx=2), to("other.tiff"), bits=16, signed=True)
+    with pytest.raises(ValueError, match="another shape"):
+        slices.load_tiff(spark, str(tmp_path))
