@@ -299,3 +299,70 @@ def test_stack_gaps_repeats_and_refusals(spark, tmp_path):
     slices.write_stacks(_volume(spark, nx=2), to("other.tiff"), bits=16, signed=True)
     with pytest.raises(ValueError, match="another shape"):
         slices.load_tiff(spark, str(tmp_path))
+
+
+def _grid(spark, far=5):
+    xyz = [(i, i / 3, -0.0, 1e300, {"u": [i * 1.5, float("nan"), 0.1]}, {"id": [(1 << 62) + i]}) for i in range(far)]
+    points = spark.createDataFrame(xyz, "id long, x double, y double, z double, attrs map<string,array<double>>, ints map<string,array<bigint>>")
+    cells = spark.createDataFrame([(0, 10, [0, 1, 2, 3], {"t": [0.5]}), (1, 5, [4, 2, 0], {"t": [1.5]}), (2, 10, [1, 2, 3, 4], {"t": [2.5]})], "id long, vtk_type int, nodes array<bigint>, attrs map<string,array<double>>")
+    return points, cells
+
+
+def test_appended_vtu_round_trip(spark, tmp_path, monkeypatch):
+    """Vectors and 64-bit whole numbers come back bit-equal, rows are written in any order and read in ranges."""
+    points, cells = _grid(spark)
+    path = str(tmp_path / "out" / "g.vtu")
+    assert vtu.write_vtu(points.orderBy(F.desc("id")).repartition(3), cells.orderBy(F.desc("id")), path, {"Counts": np.array([4, 2])}).count() == 1
+    monkeypatch.setattr(vtu, "SPLIT_ROWS", 2)
+    read = lambda t: spark.read.format("vtu").options(path=path, table=t).load()
+    back = read("points").orderBy("id").collect()
+    for r, want in zip(back, points.orderBy("id").collect(), strict=True):
+        assert repr([r[k] for k in ("id", "x", "y", "z", "attrs", "ints")]) == repr([want[k] for k in ("id", "x", "y", "z", "attrs", "ints")])
+    got = [(r["id"], r["vtk_type"], r["nodes"], r["attrs"], r["ints"]) for r in read("cells").orderBy("id").collect()]
+    assert got == [(r["id"], r["vtk_type"], r["nodes"], r["attrs"], {}) for r in cells.orderBy("id").collect()]
+    assert read("field").first()["values"] == [4.0, 2.0]
+    doc = vtu.load(path)
+    assert doc["Cells"]["offsets"][1].tolist() == [4, 7, 11] and doc["PointData"]["u"][0] == 3
+
+
+def test_range_plan_of_appended_vtu(spark, tmp_path, monkeypatch):
+    points, cells = _grid(spark)
+    path = str(tmp_path / "g.vtu")
+    vtu.write_vtu(points, cells, path)
+    monkeypatch.setattr(vtu, "SPLIT_ROWS", 2)
+    reader = vtu.VtuReader({"path": path, "table": "cells"})
+    pieces = reader.partitions()
+    assert [(p.start, p.stop) for p in pieces] == [(0, 2), (2, 3)]
+    assert [b.column(0).to_pylist() and b.column(3).to_pylist() for p in pieces for b in reader.read(p)] == [[[0, 1, 2, 3], [4, 2, 0]], [[1, 2, 3, 4]]]
+    data = (tmp_path / "g.vtu").read_bytes()
+    last = data.rfind(np.array([1, 2, 3, 4]).astype("<i8").tobytes()) + 24
+    (tmp_path / "g.vtu").write_bytes(data[:last] + np.int64(9).tobytes() + data[last + 8:])
+    assert len(list(reader.read(pieces[0]))) == 1
+    with pytest.raises(ValueError, match="outside"):
+        list(reader.read(pieces[1]))
+
+
+def test_vtu_sink_edges(spark, tmp_path):
+    points, cells = _grid(spark)
+    path = str(tmp_path / "g.vtu")
+    vtu.write_vtu(points.filter("false"), cells.filter("false"), path)
+    assert spark.read.format("vtu").options(path=path, table="points").load().count() == 0
+    assert spark.read.format("vtu").options(path=path, table="cells").load().count() == 0
+    with pytest.raises(ValueError, match="out of range"):
+        vtu.write_vtu(points.filter("id < 4"), cells, path)
+    with pytest.raises(ValueError, match="ids"):
+        vtu.write_vtu(points.filter("id <> 2"), cells.filter("false"), path)
+    with pytest.raises(ValueError, match="array u"):
+        vtu.write_vtu(points.withColumn("attrs", F.when(F.col("id") > 0, F.col("attrs"))), cells, path)
+    with pytest.raises(Exception, match="twice"):
+        vtu.write_vtu(points.withColumn("id", F.when(F.col("id") == 2, 3).otherwise(F.col("id"))), cells.filter("false"), path)
+
+
+def test_large_unsigned_numbers_are_refused(spark, tmp_path):
+    text = vtu.document(np.zeros((3, 3)), [[0, 1, 2]], [5], {"id": np.array([1, 2, 7])}).replace('type="Int64" Name="id"', 'type="UInt64" Name="id"')
+    (tmp_path / "u.vtu").write_text(text)
+    rows = spark.read.format("vtu").options(path=str(tmp_path / "u.vtu"), table="points").load()
+    assert sorted(r["ints"]["id"][0] for r in rows.collect()) == [1, 2, 7]
+    (tmp_path / "u.vtu").write_text(text.replace("1 2 7", f"1 2 {1 << 63}"))
+    with pytest.raises(Exception, match="bigint"):
+        rows.collect()
