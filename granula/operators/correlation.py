@@ -1,8 +1,8 @@
 """Two-point correlation S2(r) of voxel occupancies and of meshes.
 
 The exact curve packs voxels along z into machine words, so one joined pair of rows
-answers up to 31 voxels at once: shift, AND, count bits. A volume is keyed by
-(volume, x, y, word), so one very large volume is just many rows.
+answers up to 31 voxels at once: shift, AND, count bits. Words meet in tiles of columns,
+keyed by (volume, tile, word), so one very large volume is just many tiles.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rng import u01, uniform_index
-from ..session import spread
+from ..session import cut, shuffled, spread
 
 WORD = 31
+TILE = 16
 MIN_SAMPLES = 200
 BLOCK = 2048
 
@@ -61,23 +62,34 @@ def packed(occ: DataFrame, vol: str) -> DataFrame:
         F.struct(w.alias("w"), F.call_function("shiftleft", one, b).alias("bits")),
         F.struct((w - 1).alias("w"), F.call_function("shiftleft", one, b + WORD).alias("bits")))
     spread = occ.select(vol, "x", "y", F.explode(parts).alias("p")).select(vol, "x", "y", "p.*")
-    return spread.groupBy(vol, "x", "y", "w").agg(F.bit_or("bits").alias("bits"))
+    # the first word has none before it
+    return spread.filter("w >= 0").groupBy(vol, "x", "y", "w").agg(F.bit_or("bits").alias("bits"))
 
 
 def pair_hits(occ: DataFrame, vol: str, r_max: int, pitch: float = 1.0) -> DataFrame:
     """Occupied pairs per offset: vol, dx, dy, dz, hits (half space of offsets, zero hits omitted)."""
     half = _half_space(r_max, pitch)
     depth = max(o[3] for o in half)
-    columns = sorted({(o[1], o[2]) for o in half})
-    bits = packed(occ, vol)
+    columns = {(o[1], o[2]) for o in half}
+    reach = max(abs(c) for o in columns for c in o)
+    side, span = max(TILE, 2 * reach), 2 * reach + 1
+    bits = cut(packed(occ, vol))
     own = F.col("bits").bitwiseAND(F.lit((1 << WORD) - 1))
-    left = bits.filter(own != 0).select(
-        vol, "w", own.alias("own"), "x", "y", F.explode(_rows(columns, ("dx", "dy"))).alias("o"))
+
+    def tile(c):
+        return F.floor(c / side).cast("int")
+
+    # A word travels to the few tiles of columns within reach, not once per offset.
+    left = bits.filter(own != 0).select(vol, "x", "y", "w", own.alias("own"))
+    for c in "xy":
+        left = left.withColumn("_t" + c, F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach))))
     # dz = k words and a rest of fewer than WORD bits
-    left = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(depth // WORD))))
-    left = left.select(vol, (F.col("w") + F.col("k")).alias("w"), "k", "own", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"),
-                       F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"))
-    met = left.join(bits, [vol, "x", "y", "w"])
+    left = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(depth // WORD)))).withColumn("w", F.col("w") + F.col("k"))
+    right = bits.select(vol, "w", F.col("x").alias("_x"), F.col("y").alias("_y"), "bits", *(tile(F.col(c)).alias("_t" + c) for c in "xy"))
+    dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+    near = (F.abs(dx) <= reach) & (F.abs(dy) <= reach) & (dx * span + dy).cast("int").isin([a * span + b for a, b in sorted(columns)])
+    met = shuffled(left).join(shuffled(right), [vol, "_tx", "_ty", "w"]).filter(near).select(
+        vol, dx.cast("int").alias("dx"), dy.cast("int").alias("dy"), "k", "own", "bits")
     sums = [F.sum(F.bit_count(F.col("own").bitwiseAND(F.shiftright(F.col("bits"), dz)))).alias(f"h{dz}")
             for dz in range(min(depth + 1, WORD))]
     per_column = met.groupBy(vol, "dx", "dy", "k").agg(*sums)
@@ -99,7 +111,7 @@ def s2_exact(occ: DataFrame, dims: DataFrame, vol: str, r_max: int, pitch: float
     hits = pair_hits(occ, vol, r_max, pitch)
     valid = (F.col("nx") - F.abs("dx")) * (F.col("ny") - F.abs("dy")) * (F.col("nz") - F.abs("dz"))
     ratio = F.coalesce("hits", F.lit(0)).cast("double") / valid
-    rings = offs.join(hits, [vol, "dx", "dy", "dz"], "left").groupBy(vol, "r").agg(
+    rings = shuffled(offs).join(hits, [vol, "dx", "dy", "dz"], "left").groupBy(vol, "r").agg(
         (F.count("*") * 2).alias("n_offsets"), F.avg(ratio).alias("s2"))
     filled = occ.groupBy(vol).agg(F.count("*").alias("n"))
     zero = dims.join(filled, vol, "left").select(

@@ -19,7 +19,11 @@ SEED = 11
 
 
 def _dims(spark, sf, vol="vol"):
-    return D.voxels(spark, sf).select(vol).distinct().select(vol, F.lit(NX).alias("nx"), F.lit(NY).alias("ny"), F.lit(NZ).alias("nz"))
+    return _sized(D.voxels(spark, sf), vol)
+
+
+def _sized(occ, vol="vol"):
+    return occ.select(vol).distinct().select(vol, F.lit(NX).alias("nx"), F.lit(NY).alias("ny"), F.lit(NZ).alias("nz"))
 
 
 _OFFSETS = f"""o AS (SELECT r, dx, dy, dz FROM (SELECT unnest(range(1, {R_MAX + 1})) AS r), (SELECT unnest(range(-{R_MAX}, {R_MAX + 1})) AS dx),
@@ -39,7 +43,8 @@ def _s2_sql(occ: str, vol: str) -> str:
 @query("s2_exact", f"WITH {D.VOXELS_SQL}, {_OFFSETS}, {_s2_sql('voxels', 'vol')} SELECT vol, r, n_offsets, {q6('s2')} AS s2 FROM s")
 def s2_exact(spark, sf):
     """Exact two-point correlation of every supplier's lattice."""
-    s = C.s2_exact(D.voxels(spark, sf).select("vol", *AXES), _dims(spark, sf), "vol", R_MAX)
+    occ = cut(D.voxels(spark, sf).select("vol", *AXES))
+    s = C.s2_exact(occ, _sized(occ), "vol", R_MAX)
     return s.select("vol", "r", "n_offsets", r6(F.col("s2")).alias("s2"))
 
 
@@ -52,10 +57,9 @@ _FLAG_VOX = """fv AS (SELECT DISTINCT l_suppkey || l_returnflag AS vol, CAST(l_q
 def s2_curve_l2(spark, sf):
     """Distance of the curves of returned and accepted items, per supplier."""
     li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
-    occ = li.select(F.struct(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f")).alias("vol"), (F.col("l_quantity").cast("bigint") - 1).alias("x"),
-                    F.round(F.col("l_discount") * 100).cast("bigint").alias("y"), F.round(F.col("l_tax") * 100).cast("bigint").alias("z")).distinct()
-    dims = occ.select("vol").distinct().select("vol", F.lit(NX).alias("nx"), F.lit(NY).alias("ny"), F.lit(NZ).alias("nz"))
-    curves = cut(C.s2_exact(occ, dims, "vol", R_MAX))
+    occ = cut(li.select(F.struct(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f")).alias("vol"), (F.col("l_quantity").cast("bigint") - 1).alias("x"),
+                    F.round(F.col("l_discount") * 100).cast("bigint").alias("y"), F.round(F.col("l_tax") * 100).cast("bigint").alias("z")).distinct())
+    curves = cut(C.s2_exact(occ, _sized(occ), "vol", R_MAX))
     side = [curves.filter(F.col("vol.f") == f).select(F.col("vol.s").alias("supplier"), "r", "s2") for f in ("R", "A")]
     return C.l2(*side, ["supplier"]).select("supplier", r6(F.col("l2")).alias("l2"))
 

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 import shapes
@@ -13,13 +12,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def bodies(n):
-    return pd.DataFrame({"id": np.arange(n), **{k + e: np.arange(n) * 0.5 + i for k in "xyz" for i, e in enumerate("01")}})
+def bodies(spark, n):
+    return spark.range(n).select("id", *((F.col("id") * 0.5 + i).alias(k + e) for k in "xyz" for i, e in enumerate("01")))
 
 
 def test_grid_cells_are_not_broadcast(spark):
-    b = spark.createDataFrame(bodies(20))
-    points = spark.createDataFrame(bodies(20)).select("id", *(F.col(k + "0").alias(k) for k in "xyz"))
+    b = bodies(spark, 20)
+    points = b.select("id", *(F.col(k + "0").alias(k) for k in "xyz"))
     prims = points.select(F.col("id").alias("pid"), *(F.col(k).alias("a" + k) for k in "xyz"))
     for got in (gridjoin.box_self_join(b, "id"), gridjoin.box_join(b, b), gridjoin.contain_join(points, b), nearest.upper_bounds(points, prims, "id")):
         assert "Join" in plan(got) and "BroadcastExchange" not in plan(got)
@@ -31,3 +30,15 @@ def test_faces_are_not_broadcast(spark):
     scans = plan(got).split("SortMergeJoin [mesh_id")
     assert len(scans) > 1 and "fid" in scans[1].split("]")[0]
     assert got.groupBy("mesh_id", "shell").count().count() == 2
+
+
+def test_words_travel_to_tiles_and_not_once_per_offset(spark):
+    occ = np.random.default_rng(4).random((40, 21, 35)) < 0.3
+    rows = pd.DataFrame(np.argwhere(occ), columns=list("xyz")).assign(vol=1)
+    hits = correlation.pair_hits(spark.createDataFrame(rows), "vol", 4)
+    assert "Generate explode([[" not in plan(hits)  # no list of offsets
+    got = {(r["dx"], r["dy"], r["dz"]): r["hits"] for r in hits.collect()}
+    for d in [o for offs in correlation.shell_offsets(4).values() for o in offs if (o[2], o[1], o[0]) > (0, 0, 0)]:
+        lo = tuple(slice(max(0, -c), n - max(0, c)) for c, n in zip(d, occ.shape))
+        hi = tuple(slice(max(0, c), n - max(0, -c)) for c, n in zip(d, occ.shape))
+        assert got.get(d, 0) == (occ[lo] & occ[hi]).sum()
