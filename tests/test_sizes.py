@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import shapes
-from granula.operators import correlation, gridjoin, meshes, nearest
+from granula.operators import correlation, gridjoin, inside, meshes, nearest
 
 
 def plan(df):
@@ -42,3 +42,19 @@ def test_words_travel_to_tiles_and_not_once_per_offset(spark):
         lo = tuple(slice(max(0, -c), n - max(0, c)) for c, n in zip(d, occ.shape))
         hi = tuple(slice(max(0, c), n - max(0, -c)) for c, n in zip(d, occ.shape))
         assert got.get(d, 0) == (occ[lo] & occ[hi]).sum()
+
+
+def test_parts_of_few_faces_need_no_grid(spark, monkeypatch):
+    ball = shapes.icosphere(2, (4.2, 4.1, 4.3), 2.7)
+    tri = spark.createDataFrame(shapes.frame({1: shapes.box((0.2, 0.3, 0.1), (3.4, 2.2, 9.3)), 2: shapes.box((1, 1, 1), (2, 2, 2)), 3: ball}))
+    joins = []
+    monkeypatch.setattr(inside, "contain_join", lambda points, boxes, *a, **k: joins.append(boxes.select("part").distinct().count()) or gridjoin.contain_join(points, boxes, *a, **k))
+    got = {(r["part"], r["ix"], r["iy"], r["iz"]) for r in inside.coverage(tri, "part", (0, 0, 0), 0.5).collect()}
+    assert joins == [1]  # the ball only
+    mid = (np.arange(24) + 0.5) / 2
+    x, y, z = np.meshgrid(mid, mid, mid, indexing="ij")
+    box = [(0.2 < x) & (x < 3.4) & (0.3 < y) & (y < 2.2) & (0.1 < z) & (z < 9.3), (1 < x) & (x < 2) & (1 < y) & (y < 2) & (1 < z) & (z < 2)]
+    assert {g for g in got if g[0] < 3} == {(i + 1, *map(int, v)) for i, b in enumerate(box) for v in np.argwhere(b)}
+    r = np.sqrt((x - 4.2) ** 2 + (y - 4.1) ** 2 + (z - 4.3) ** 2)
+    held = {g[1:] for g in got if g[0] == 3}
+    assert {tuple(map(int, v)) for v in np.argwhere(r < 2.5)} <= held <= {tuple(map(int, v)) for v in np.argwhere(r <= 2.7)}
