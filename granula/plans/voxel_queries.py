@@ -150,12 +150,12 @@ def rotated_bounds(spark, sf):
     return V.rotated_bounds(_with_background(spark, sf), _fixed_frames(spark, sf))
 
 
-def _targets(spark, sf):
-    """Lattice, its backgrounds, and the crop box sampled through the fixed frame."""
-    d = cut(_with_background(spark, sf))
+def _resampled(spark, sf, interpolation):
+    """Counts of values in the crop boxes sampled through the fixed frame."""
+    d = cut(D.dense_voxels(spark, sf))
+    d = d.join(cut(V.background(d)), "vol")
     frames = cut(V.moments(d).select("vol", "mx", "my", "mz", F.array(*(F.lit(c) for c in _ROT)).alias("frame")))
-    bounds = cut(V.rotated_bounds(d, frames))
-    return d, d.groupBy("vol").agg(F.first("background").alias("background")), V.target_grid(bounds, frames)
+    return V.resample(d, cut(V.rotated_bounds(d, frames)), frames, interpolation).groupBy("vol", "v").agg(F.count("*").alias("n"))
 
 
 _SRC = [f"({_R[3 * i]} * tx + {_R[3 * i + 1]} * ty + {_R[3 * i + 2]} * tz + m{k})" for i, k in enumerate(AXES)]
@@ -167,8 +167,7 @@ _GRID = f"""{_BOUNDS}, tg AS (SELECT vol, x0, y0, z0, mx, my, mz, tx, ty, unnest
 @query("resample_nearest", f"""WITH {D.DENSE_SQL}, {_GRID}, g AS (SELECT vol, x, y, z, {', '.join(f'CAST(round(s{k}) AS BIGINT) AS g{k}' for k in AXES)} FROM sr)
  SELECT vol, coalesce(d.v, background) AS v, count(*) AS n FROM g JOIN bg USING (vol) LEFT JOIN dense d ON d.vol = g.vol AND d.x = gx AND d.y = gy AND d.z = gz GROUP BY ALL""".replace("SELECT vol, coalesce", "SELECT g.vol, coalesce"))
 def resample_nearest(spark, sf):
-    d, bg, t = _targets(spark, sf)
-    return V.sample_nearest(t, d, bg).groupBy("vol", "v").agg(F.count("*").alias("n"))
+    return _resampled(spark, sf, "nearest")
 
 
 @query("resample_trilinear", f"""WITH {D.DENSE_SQL}, {_GRID}, f AS (SELECT vol, x, y, z, {', '.join(f'CAST(floor(s{k}) AS BIGINT) AS f{k}, s{k} - floor(s{k}) AS w{k}' for k in AXES)} FROM sr),
@@ -178,8 +177,7 @@ def resample_nearest(spark, sf):
   LEFT JOIN dense d ON d.vol = tp.vol AND d.x = gx AND d.y = gy AND d.z = gz GROUP BY tp.vol, tp.x, tp.y, tp.z)
  SELECT vol, v, count(*) AS n FROM vv GROUP BY ALL""")
 def resample_trilinear(spark, sf):
-    d, bg, t = _targets(spark, sf)
-    return V.sample_trilinear(t, d, bg).groupBy("vol", "v").agg(F.count("*").alias("n"))
+    return _resampled(spark, sf, "trilinear")
 
 
 @query("crop_pca")
