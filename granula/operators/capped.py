@@ -23,6 +23,8 @@ touches stays as it is. Empty tables give empty tables; rows with a null coordin
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .clipping import CORNER_COLUMNS, EPS, FACES
 from .components import connected_components
+from .meshes import bbox
 
 AXES = "xyz"
 # Points closer than this become one end of an edge.
@@ -151,17 +154,32 @@ def clip_plane(tri: DataFrame, axis: int, at: float, keep: str = "above", keys:
     return inside.select(cols).unionByName(flush.select(cols)).unionByName(split.select(cols)).unionByName(caps.select(cols))
 
 
+def _reaching(tri: DataFrame, lo: Sequence[float], hi: Sequence[float], keys: list[str]) -> DataFrame:
+    """Triangles (keys, corners) of the meshes that no plane of the box leaves wholly outside."""
+    tri = tri.select(*keys, *_known())
+    ends = bbox(tri, keys)
+    reach = F.lit(True)
+    for i, k in enumerate(AXES):
+        reach = reach & (F.col(k + "1") >= lo[i] - EPS) & (F.col(k + "0") <= hi[i] + EPS)
+    if not keys:
+        return tri
+    near = cut(ends.filter(reach).select(*(F.col(k).alias("_near_" + k) for k in keys)))
+    return tri.join(near, reduce(and_, (F.col(k).eqNullSafe(F.col("_near_" + k)) for k in keys)), "left_semi")
+
+
 def clip_box(tri: DataFrame, lo: Sequence[float], hi: Sequence[float], keys: Sequence[str] = ("mesh_id",), holes: str = "keep") -> DataFrame:
     """Every mesh cut to an axis-aligned box, one plane after another, capped after each.
 
-    Triangles clear of all planes are set aside first; only what may still be cut is written between planes.
+    Meshes that lie wholly beyond a plane leave nothing and go first, triangles clear of all planes are set aside; only
+    what may still be cut is written between planes.
     """
     keys = list(keys)
+    tri = _reaching(tri, lo, hi, keys)
     reach = {k: (F.least(*(p + k for p in "abc")), F.greatest(*(p + k for p in "abc"))) for k in AXES}
     clear = F.lit(True)
     for i, k in enumerate(AXES):
         clear = clear & (reach[k][0] > lo[i] + EPS) & (reach[k][1] < hi[i] - EPS)
-    tri = cut(tri.select(*keys, *_known()).withColumn("_clear", clear))
+    tri = cut(tri.withColumn("_clear", clear))
     settled = tri.filter("_clear").select(*keys, *CORNER_COLUMNS, F.lit(None).cast("string").alias("face"))
     left = tri.filter(~F.col("_clear")).select(*keys, *CORNER_COLUMNS, F.lit(None).cast("string").alias("face"))
     for axis in range(3):
