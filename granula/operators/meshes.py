@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ CORNERS = ("a", "b", "c")
 # A shell whose signed sum vanishes to this share of its absolute sum encloses nothing; an
 # exact zero would depend on the order of the additions.
 ZERO_VOLUME = 1e-12
+# Meshes of so many faces at most are labelled where their faces have come together, larger ones by joins.
+WHOLE = 4096
 
 
 def corners(tri: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,9 +102,71 @@ def face_shells(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), share: str =
     return cc.select(*keys, F.col("node").alias("fid"), F.col("component").alias("shell"))
 
 
+def _smallest_linked(n: np.ndarray, ok: np.ndarray, hinges: np.ndarray, fid: np.ndarray) -> np.ndarray:
+    """Smallest fid of the faces of one list that hinges chain together: ``n`` faces a list, ``hinges`` (faces, per face, 2), ``ok`` marks those that count."""
+    row = np.repeat(np.arange(len(n)), n)
+    face, which = np.nonzero(ok)
+    # a face links to its hinges and to rows of its own number
+    own = np.zeros(len(fid), "i8")
+    parts = [(row[face], *hinges[face, which].T, np.zeros(len(face), "i8")), (row, fid, own, own + 1)]
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    face = np.concatenate([face, np.arange(len(fid))])
+    order = np.lexsort(columns[::-1])
+    fresh = np.zeros(len(order), bool)
+    for c in columns:
+        fresh[1:] |= np.diff(c[order]) != 0
+    face, hinge = face[order], np.cumsum(fresh)
+    starts = np.flatnonzero(np.diff(hinge, prepend=-1))
+    by_face = np.argsort(face, kind="stable")
+    firsts = np.flatnonzero(np.diff(face[by_face], prepend=-1))
+    label = fid
+    while len(fid):
+        low = np.minimum.reduceat(label[face], starts)
+        lower = np.minimum.reduceat(low[hinge[by_face]], firsts)
+        if (lower == label).all():
+            break
+        label = lower
+    return label
+
+
+def _labelled(tri: DataFrame, keys: list[str], share: str) -> DataFrame:
+    """``with_shells`` of meshes of ``WHOLE`` faces at most: the faces of a mesh come together once."""
+    if share == "vertex":
+        ends = [(F.col("i" + p), F.lit(0).cast("bigint")) for p in CORNERS]
+    else:
+        ends = [(F.least("i" + p, "i" + q), F.greatest("i" + p, "i" + q)) for p, q in ("ab", "bc", "ca")]
+    hinges = [F.coalesce(e.cast("bigint"), F.lit(0)) for pair in ends for e in pair]
+    known = [F.coalesce(lo.isNotNull() & hi.isNotNull(), F.lit(False)) for lo, hi in ends]
+    rest = [c for c in tri.columns if c not in keys]
+    rows = tri.dropna(subset=[*keys, "fid"]).groupBy(*keys).agg(F.collect_list(F.struct(*rest, F.array(*hinges).alias("_hinges"), F.array(*known).alias("_known"))).alias("_f"))
+
+    @F.arrow_udf("array<bigint>")
+    def label(fid: pa.Array, hinges: pa.Array, known: pa.Array) -> pa.Array:
+        ids = fid.flatten().to_numpy()
+        n = fid.value_lengths().to_numpy()
+        found = _smallest_linked(n, known.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3), hinges.flatten().to_numpy().reshape(-1, 3, 2), ids)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found))
+
+    marked = rows.withColumn("_shell", label(F.col("_f.fid").cast("array<bigint>"), F.flatten("_f._hinges"), F.flatten("_f._known")))
+    each = marked.select(*keys, F.explode(F.arrays_zip("_f", "_shell")).alias("_z"))
+    return each.select(*keys, *(F.col(f"_z._f.{c}").alias(c) for c in rest), F.col("_z._shell").cast(tri.schema["fid"].dataType).alias("shell")).select(*_order(tri, keys), "shell")
+
+
+def _order(tri: DataFrame, keys: list[str]) -> list[str]:
+    """Columns as a join on keys and fid leaves them."""
+    return [*keys, "fid", *(c for c in tri.columns if c not in keys and c != "fid")]
+
+
 def with_shells(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), share: str = "vertex") -> DataFrame:
-    """Add ``shell``, the label of ``face_shells``, to every face."""
-    return shuffled(tri).join(face_shells(tri, keys, share), [*keys, "fid"])
+    """Add ``shell``, the label of ``face_shells``, to every face that has keys and a fid."""
+    keys = list(keys)
+    whole = all(t in ("int", "bigint") for c, t in tri.dtypes if c in ("fid", "ia", "ib", "ic"))
+    large = cut(tri.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > (WHOLE if whole else 0)).select(*keys))
+    if large.isEmpty():
+        return _labelled(tri, keys, share)
+    some = tri.join(large, keys, "left_semi")
+    joined = shuffled(some).join(face_shells(some, keys, share), [*keys, "fid"])
+    return joined if not whole else _labelled(tri.join(large, keys, "left_anti"), keys, share).unionByName(joined)
 
 
 def closedness(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), shells: bool = True) -> DataFrame:

@@ -23,3 +23,18 @@ def test_meshes_beyond_a_plane_go_before_the_cuts(spark):
     tri = spark.createDataFrame(frame({0: box((-1, -1, -1), (1, 1, 1)), **far, 9: box((1, 0, 0), (2, 1, 1))})[["mesh_id", *COLS]])
     left = capped._reaching(tri, (0, 0, 0), (1, 1, 60), ["mesh_id"])
     assert {r.mesh_id for r in left.select("mesh_id").distinct().collect()} == {0, 1, 9}  # 9 touches
+
+
+@pytest.mark.parametrize("share", ["vertex", "edge"])
+def test_shells_of_small_meshes(spark, monkeypatch, share):
+    tri = table(spark)
+    tri = tri.unionByName(tri.limit(3)).unionByName(tri.limit(2).withColumn("mesh_id", F.lit(None).cast("bigint")))
+    monkeypatch.setattr(meshes, "WHOLE", 0)
+    want = meshes.with_shells(tri, ["mesh_id"], share).select("mesh_id", "fid", "ax", "shell")
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(meshes, "WHOLE", 100)
+    assert want == sorted(map(tuple, meshes.with_shells(tri, ["mesh_id"], share).select("mesh_id", "fid", "ax", "shell").collect()))
+    assert {r[3] for r in want} == {1000, 2000, 3000}
+    monkeypatch.setattr(meshes, "WHOLE", 4096)
+    monkeypatch.setattr(meshes, "connected_components", refuse)
+    assert {r["reason"] for r in meshes.closedness(table(spark), ["part"]).collect()} == {None}
