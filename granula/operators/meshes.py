@@ -278,15 +278,22 @@ def digest(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), quantum: float =
     """
     corner = {p: [F.round(F.col(p + k) * quantum).cast("bigint") for k in "xyz"] for p in "abc"}
     turns = F.array_min(F.array(*(F.array(*(c for p in turn for c in corner[p])) for turn in ("abc", "bca", "cab"))))
-    leaves = tri.select(*keys, F.sha2(F.array_join(turns, ","), 256).alias("h"))
-    ranked = cut(numbered(leaves, list(keys), ["h"], "n").withColumn("b", F.floor((F.col("n") - 1) / block)))
-    most = ranked.agg(F.max("n")).first()[0] or 0
+    keys, joined = list(keys), lambda hashes: F.sha2(F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ""), 256)
+    leaves = tri.select(*keys, F.unhex(F.sha2(F.array_join(turns, ","), 256)).alias("h"))
+    count = tri.groupBy(*keys).agg(F.count("*").alias("faces"))
+    most = count.agg(F.max("faces")).first()[0] or 0
+    rounds = max(1, next(r for r in range(64) if block ** r >= most))
+    if most <= WHOLE:  # every mesh comes together once; its blocks are slices of one sorted list
+        some = leaves.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("faces"), F.array_sort(F.collect_list("h")).alias("level"))
+        for _ in range(rounds):
+            starts = F.sequence(F.lit(1), F.greatest(F.size("level"), F.lit(1)), F.lit(block))
+            some = some.withColumn("level", F.transform(starts, lambda i: F.unhex(joined(F.slice(F.col("level"), i, F.lit(block))))))
+        return some.select(*keys, "faces", F.lower(F.hex(F.col("level")[0])).alias("digest"))
+    ranked = cut(numbered(leaves, keys, ["h"], "n").withColumn("b", F.floor((F.col("n") - 1) / block)))
     level = ranked.select(*keys, "b", "h", "n")
-    while True:
+    for r in range(rounds):
+        if r:
+            level = cut(level.select(*keys, F.floor(F.col("b") / block).alias("b"), "h", F.col("b").alias("n")))
         items = F.array_sort(F.collect_list(F.struct("n", "h")))
-        level = level.groupBy(*keys, "b").agg(F.sha2(F.array_join(F.transform(items, lambda i: i["h"]), ""), 256).alias("h"))
-        most = -(-most // block)
-        if most <= 1:
-            break
-        level = cut(level.select(*keys, F.floor(F.col("b") / block).alias("b"), "h", F.col("b").alias("n")))
-    return level.select(*keys, F.col("h").alias("digest")).join(tri.groupBy(*keys).agg(F.count("*").alias("faces")), list(keys)).select(*keys, "faces", "digest")
+        level = level.groupBy(*keys, "b").agg(F.unhex(joined(F.transform(items, lambda i: i["h"]))).alias("h"))
+    return level.select(*keys, F.lower(F.hex("h")).alias("digest")).join(count, keys).select(*keys, "faces", "digest")

@@ -38,3 +38,12 @@ def test_shells_of_small_meshes(spark, monkeypatch, share):
     monkeypatch.setattr(meshes, "WHOLE", 4096)
     monkeypatch.setattr(meshes, "connected_components", refuse)
     assert {r["reason"] for r in meshes.closedness(table(spark), ["part"]).collect()} == {None}
+
+
+def test_digest_of_small_meshes(spark, monkeypatch):
+    tri = table(spark)
+    monkeypatch.setattr(meshes, "WHOLE", 0)
+    want = sorted(map(tuple, meshes.digest(tri, ["part"], block=5).collect()))
+    monkeypatch.setattr(meshes, "WHOLE", 4096)
+    monkeypatch.setattr(meshes, "numbered", refuse)
+    assert sorted(map(tuple, meshes.digest(tri, ["part"], block=5).collect())) == want and len(want) == 3
