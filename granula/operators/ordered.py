@@ -46,6 +46,20 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence, sums: Mapping[
     return out.drop("_block", *("_o_" + d for d in sums))
 
 
+def running_within(df: DataFrame, group: Sequence[str], order: Sequence, sums: Mapping[str, str], inclusive: bool = True) -> DataFrame:
+    """``running`` for many small groups: where none has more than ``BLOCK_ROWS`` rows, each is scanned whole and nothing is written.
+
+    ``df`` is read once more to count, so it should be cheap to read.
+    """
+    most = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if most > BLOCK_ROWS:
+        return running(df, group, order, sums, inclusive)
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    within = Window.partitionBy(*group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    known = df.dropna(subset=list(group))  # as the join on blocks
+    return known.withColumns({dst: F.coalesce(F.sum(src).over(within), F.lit(0)) for dst, src in sums.items()})
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     """1-based position of each row in its group."""
     return running(df.withColumn("_one", F.lit(1)), group, order, {name: "_one"}).drop("_one")

@@ -310,10 +310,10 @@ def relaxation_step(spark, sf):
 def surface_samples(spark, sf):
     """One area-weighted point on the surface of every body."""
     from ..functions import solids as S
-    from ..operators.ordered import running
+    from ..operators.ordered import running_within
 
     tri = D.triangles(D.bodies(spark, sf)).withColumn("area", S.tri_area(vec("a"), vec("b"), vec("c")))
-    upto = running(tri, ["part"], ["fid"], {"upto": "area"})
+    upto = running_within(tri, ["part"], ["fid"], {"upto": "area"})
     total = tri.groupBy("part").agg(F.sum("area").alias("total"))
     who = F.col("part")
     s0, t0 = u01(9, "s", who), u01(9, "t", who)

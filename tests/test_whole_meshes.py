@@ -47,3 +47,12 @@ def test_digest_of_small_meshes(spark, monkeypatch):
     monkeypatch.setattr(meshes, "WHOLE", 4096)
     monkeypatch.setattr(meshes, "numbered", refuse)
     assert sorted(map(tuple, meshes.digest(tri, ["part"], block=5).collect())) == want and len(want) == 3
+
+
+def test_running_totals_of_small_groups(spark, monkeypatch):
+    rows = spark.createDataFrame([(g, i, float(i)) for g in range(3) for i in range(5)] + [(None, 1, 1.0)], "g int, i int, v double")
+    for inclusive in (True, False):
+        want = ordered.running(rows, ["g"], ["i"], {"s": "v"}, inclusive).collect()
+        with monkeypatch.context() as m:
+            m.setattr(ordered, "_blocks", refuse)
+            assert sorted((r.g, r.i, r.s) for r in want) == sorted((r.g, r.i, r.s) for r in ordered.running_within(rows, ["g"], ["i"], {"s": "v"}, inclusive).collect())
