@@ -240,9 +240,9 @@ def weld(points: DataFrame, keys: Sequence[str], order_col: str, quantum: float
     Returns keys, qx, qy, qz, vid (the order value of the first occurrence) and x, y, z.
     """
     quant = [F.round(F.col(k) * quantum).cast("bigint").alias("q" + k) for k in "xyz"]
-    first = points.groupBy(*keys, *quant).agg(
-        F.min(F.struct(order_col, "x", "y", "z")).alias("f"), F.count("*").alias("uses"))
-    return first.select(*keys, "qx", "qy", "qz", F.col("f." + order_col).alias("vid"), "f.x", "f.y", "f.z", "uses")
+    # plain minima are added up in a hash table and drop out where nobody reads them; a minimum of structs would sort all points first
+    return points.groupBy(*keys, *quant).agg(
+        F.min(order_col).alias("vid"), *(F.min_by(k, order_col).alias(k) for k in "xyz"), F.count("*").alias("uses"))
 
 
 def merge_offsets(parts: DataFrame, group: Sequence[str], order_col: str) -> DataFrame:

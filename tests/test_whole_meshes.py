@@ -56,3 +56,10 @@ def test_running_totals_of_small_groups(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(ordered, "_blocks", refuse)
             assert sorted((r.g, r.i, r.s) for r in want) == sorted((r.g, r.i, r.s) for r in ordered.running_within(rows, ["g"], ["i"], {"s": "v"}, inclusive).collect())
+
+
+def test_weld_keeps_no_points_to_sort(spark):
+    pts = spark.createDataFrame([(1, 7, 0.1, 0.2, 0.3), (1, 4, 0.1 + 1e-9, 0.2, 0.3), (1, 9, 5.0, 0.2, 0.3)], "mesh_id long, pos long, x double, y double, z double")
+    got = meshes.weld(pts, ["mesh_id"], "pos")
+    assert sorted((r.vid, r.x, r.uses) for r in got.collect()) == [(4, 0.1 + 1e-9, 2), (9, 5.0, 1)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
