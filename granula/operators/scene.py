@@ -8,13 +8,12 @@ from operator import and_
 from typing import NamedTuple, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import solids as S
 from ..functions.vec import V, add, cross, div, dot, lit3, norm, scale, sub, vec
 from ..session import cut
-from .gridjoin import contain_join
 from .ordered import chains, numbered, running
 
 # Cell type codes and the local node positions of their faces.
@@ -22,6 +21,8 @@ LINE, TRIANGLE, TETRA, VOXEL, HEXAHEDRON = 4, 5, 10, 11, 12
 TET_FACES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))
 VOXEL_FACES = ((0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5))  # around each face
 STOP_TRANSMITTANCE = 1.0 / 512.0
+# Ranges that edges are first counted by, parts of a range that are counted next, and edges few enough to be sorted.
+RANGES, FAN, SORTED = 4096, 64, 200_000
 # View name -> (direction, up).
 VIEWS = {
     "front": ((0, 1, 0), (0, 0, 1)), "back": ((0, -1, 0), (0, 0, 1)),
@@ -86,10 +87,18 @@ def cell_faces(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tets.unionByName(boxes).withColumn("face", F.array_sort("cycle"))
 
 
-def boundary_faces(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Faces owned by exactly one of the given cells, with that cell and its cycle."""
-    f = cell_faces(cells, keys).groupBy(*keys, "face").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min_by("cycle", "cid").alias("cycle"))
-    return f.filter("n = 1").drop("n")
+def boundary_faces(cells: DataFrame, keys: Sequence[str] = (), cycle: bool = True) -> DataFrame:
+    """Faces owned by exactly one of the given cells, with that cell and (if asked for) its cycle."""
+    f = cell_faces(cells, keys)
+    if cycle:
+        f = f.groupBy(*keys, "face").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min_by("cycle", "cid").alias("cycle"))
+        return f.filter("n = 1").drop("n")
+    # Numbers of a fixed width, the steps from node to node: they add up in a hash table and pack well where they travel.
+    steps = [F.get("face", F.lit(i)) - F.get("face", F.lit(i - 1)) if i else F.get("face", F.lit(0)) for i in range(4)]
+    f = f.select(*keys, "cid", *(c.alias(f"_n{i}") for i, c in enumerate(steps)))
+    f = f.groupBy(*keys, *(f"_n{i}" for i in range(4))).agg(F.count("*").alias("n"), F.min("cid").alias("cid")).filter("n = 1")
+    upto = [sum((F.col(f"_n{j}") for j in range(1, i + 1)), F.col("_n0")) for i in range(4)]
+    return f.select(*keys, F.when(F.col("_n3").isNull(), F.array(*upto[:3])).otherwise(F.array(*upto)).alias("face"), "cid")
 
 
 def volume_only(cells: DataFrame) -> DataFrame:
@@ -99,19 +108,41 @@ def volume_only(cells: DataFrame) -> DataFrame:
 
 def wire_edges(faces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct edges of triangular faces."""
-    pairs = [F.struct(F.col("face")[i].alias("lo"), F.col("face")[j].alias("hi")) for i, j in ((0, 1), (0, 2), (1, 2))]
-    return faces.select(*keys, F.explode(F.array(*pairs)).alias("e")).select(*keys, "e.*").distinct()
+    pairs = [F.struct(F.col("face")[i].alias("lo"), (F.col("face")[j] - F.col("face")[i]).alias("step")) for i, j in ((0, 1), (0, 2), (1, 2))]
+    edges = faces.select(*keys, F.explode(F.array(*pairs)).alias("e")).select(*keys, "e.*").distinct()
+    return edges.select(*keys, "lo", (F.col("lo") + F.col("step")).alias("hi"))
 
 
 def thin_edges(edges: DataFrame, cap: int | None = None) -> DataFrame:
-    """Every ceil(n / cap)-th edge in sorted order; all of them when they fit, or without a cap."""
+    """Every ceil(n / cap)-th edge in sorted order; all of them when they fit, or without a cap.
+
+    Edges are counted by ranges of ``lo``; only ranges that hold an edge to be picked are counted again in finer steps,
+    and at last sorted. ``edges`` is read a few times.
+    """
     if cap is None:
         return edges
-    n = edges.count()
-    if n <= cap:
+    e = edges.agg(F.count("*").alias("n"), F.count("lo").alias("known"), F.min("lo").alias("low"), F.max("lo").alias("high")).first()
+    if e["n"] <= cap:
         return edges
-    stride = math.ceil(n / cap)
-    return numbered(edges, [], ["lo", "hi"], "_rk").filter((F.col("_rk") - 1) % stride == 0).drop("_rk")
+    stride = math.ceil(e["n"] / cap)
+    if e["known"] < e["n"] or dict(edges.dtypes)["lo"] not in ("int", "bigint") or e["high"] - e["low"] >= 1 << 62:
+        return numbered(edges, [], ["lo", "hi"], "_rk").filter((F.col("_rk") - 1) % stride == 0).drop("_rk")
+
+    def within(width):
+        return F.expr(f"(lo - ({e['low']})) div {width}")
+
+    width = 1 << (e["high"] - e["low"]).bit_length()  # powers of two: finer ranges never straddle wider ones
+    ranges, rows, fan = edges.sparkSession.createDataFrame([(0, 0)], "_b long, _before long"), e["n"], RANGES
+    while rows > SORTED and width > 1:
+        finer = max(width // fan, 1)
+        each = edges.withColumn("_b", within(width)).join(ranges, "_b").groupBy("_b", "_before", within(finer).alias("_c")).agg(F.count("*").alias("_n"))
+        upto = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        each = each.withColumn("_at", F.col("_before") + upto).filter(F.expr(f"(_at + _n + {stride - 1}) div {stride} > (_at + {stride - 1}) div {stride}"))
+        ranges = cut(each.select(F.col("_c").alias("_b"), F.col("_at").alias("_before"), "_n"))
+        rows, ranges = ranges.agg(F.sum("_n")).first()[0], ranges.drop("_n")
+        width, fan = finer, FAN
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("lo", "hi")) + F.col("_before")
+    return edges.withColumn("_b", within(width)).join(ranges, "_b").withColumn("_rk", place).filter((F.col("_rk") - 1) % stride == 0).select(*edges.columns)
 
 
 def cell_value(cells: DataFrame, points: DataFrame, array: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -193,17 +224,18 @@ def camera(lo, hi, direction, up=None, width: int = 1024, height: int = 1024, pr
 def ray_hits(tri: DataFrame, cam: Camera, width: int, height: int, attrs: Sequence[str]) -> DataFrame:
     """Every (pixel, triangle) hit: px, py, t, fid, attrs and the two-sided shading cosine.
 
-    Pixels meet only triangles whose screen rectangle covers them, by the grid join.
+    A triangle makes the pixels that its screen rectangle covers; one that covers no pixel centre drops out
+    before anything travels. ``tri`` is read once.
     """
     uv = [cam.project(vec(p), width, height) for p in "abc"]
     pad = 1e-6
-    rect = tri.select("fid", *attrs, *(p + k for p in "abc" for k in "xyz"),
-                      (F.least(*(c[0] for c in uv)) - pad).alias("u0"), (F.greatest(*(c[0] for c in uv)) + pad).alias("u1"),
-                      (F.least(*(c[1] for c in uv)) - pad).alias("v0"), (F.greatest(*(c[1] for c in uv)) + pad).alias("v1"))
-    rect = rect.filter((F.col("u1") >= 0) & (F.col("v1") >= 0) & (F.col("u0") <= width - 1) & (F.col("v0") <= height - 1))
-    pixels = tri.sparkSession.range(width * height).select(
-        (F.col("id") % width).alias("px"), F.floor(F.col("id") / width).alias("py"))
-    pairs = contain_join(pixels, rect, ("px", "py"), axes=(("u0", "u1"), ("v0", "v1")))
+    ends = [(c, size, F.least(*(w[i] for w in uv)) - pad, F.greatest(*(w[i] for w in uv)) + pad) for i, (c, size) in enumerate((("px", width), ("py", height)))]
+    # Rectangles come out of a generator, so that the filter does not spell the projection out again.
+    rect = tri.select("fid", *attrs, *(p + k for p in "abc" for k in "xyz"), F.explode(F.array(F.struct(
+        *(F.greatest(F.ceil(lo), F.lit(0)).alias(c + "0") for c, _, lo, _ in ends), *(F.least(F.floor(hi), F.lit(size - 1)).alias(c + "1") for c, size, _, hi in ends)))).alias("_r"))
+    rect = rect.filter((F.col("_r.px0") <= F.col("_r.px1")) & (F.col("_r.py0") <= F.col("_r.py1")))
+    pairs = rect.withColumn("p_px", F.explode(F.sequence("_r.px0", "_r.px1"))).withColumn("p_py", F.explode(F.sequence("_r.py0", "_r.py1")))
+    pairs = pairs.drop("_r").withColumnsRenamed({c: "b_" + c for c in ("fid", *attrs, *(p + k for p in "abc" for k in "xyz"))})
     origin, direction = cam.ray(F.col("p_px"), F.col("p_py"), width, height)
     a, b, c = vec("b_a"), vec("b_b"), vec("b_c")
     t = S.ray_hit(origin, direction, a, b, c)

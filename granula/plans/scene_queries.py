@@ -52,8 +52,8 @@ def boundary_faces(spark, sf):
  r AS (SELECT *, row_number() OVER (ORDER BY lo, hi) - 1 AS k, count(*) OVER () AS n FROM e) SELECT lo, hi FROM r WHERE k % CAST(greatest(ceil(n / 5000), 1) AS BIGINT) = 0""")
 def wireframe_thinned(spark, sf):
     """Distinct boundary edges, every n-th of them when there are more than 5,000."""
-    f = scene.boundary_faces(D.kuhn_tets(D.cubes(spark, sf)), ["mesh_id"])
-    return scene.thin_edges(cut(scene.wire_edges(f).distinct()), 5000)
+    f = scene.boundary_faces(D.kuhn_tets(D.cubes(spark, sf)), ["mesh_id"], cycle=False)
+    return scene.thin_edges(cut(scene.wire_edges(f)), 5000)
 
 
 _CENTRE = ", ".join(f"(a{k} + b{k} + c{k} + d{k}) / 4 AS g{k}" for k in AXES)
@@ -135,7 +135,7 @@ def composite_layers(spark, sf):
 
 def _rendered(spark, sf, width=96, height=96):
     b = D.bodies(spark, sf)
-    tri = cut(D.triangles(b))
+    tri = D.triangles(b)  # made again where it is read, not written
     box = tri.agg(*(F.min(F.least(*(F.col(p + k) for p in "abc"))).alias(k + "0") for k in AXES), *(F.max(F.greatest(*(F.col(p + k) for p in "abc"))).alias(k + "1") for k in AXES)).first()
     direction, up = scene.VIEWS["iso_ne"]
     cam = scene.camera([box[k + "0"] for k in AXES], [box[k + "1"] for k in AXES], direction, up, width, height)
