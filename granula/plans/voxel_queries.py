@@ -271,4 +271,4 @@ def coverage_by_body(spark, sf):
 @query("box_point_join", f"""WITH {D.BODIES_SQL}, {_BODYBOX}, {_PROBES} SELECT part, count(*) AS points FROM pr JOIN bx ON {' AND '.join(f'pr.{k} >= bx.{k}0 AND pr.{k} <= bx.{k}1' for k in AXES)} GROUP BY part""")
 def box_point_join(spark, sf):
     """Line-item points per bounding box."""
-    return contain_join(D.probe_points(spark, sf), meshes.bbox(D.triangles(D.bodies(spark, sf)), ["part"])).groupBy(F.col("b_part").alias("part")).agg(F.count("*").alias("points"))
+    return contain_join(D.probe_points(spark, sf).select(*AXES), meshes.bbox(D.triangles(D.bodies(spark, sf)), ["part"]), like=True).groupBy(F.col("b_part").alias("part")).agg(F.count("*").alias("points"))
