@@ -8,9 +8,10 @@ such entries are collected. Phase three adds up the remaining lists of what was
 keeps the k best; ties go to the smaller id.
 
 Queries and rows meet in blocks: both are packed into matrices of bounded size, and every
-(query block, row block) cell is a task's worth of work of its own. Cutoffs travel with the
-query blocks, so nothing that grows is broadcast, and a row that many copies share spreads
-over blocks like any other.
+(query block, row block) cell is a task's worth of work of its own. Several query blocks travel
+together where there are cells enough for all tasks, so a row block is copied once per group of
+them. Cutoffs travel with the query blocks; both copied sides are shuffled, so nothing that grows
+is broadcast, and a row that many copies share spreads over blocks like any other.
 
 Defined cases: vectors that are null or hold null, infinite or NaN components take no part;
 shorter vectors count as padded with zeros, an empty one scores 0 with all; of rows with
@@ -27,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import keep, query, table
+from granula.session import shuffled
+
+from .base import keep, partitions, query, table
 
 QUERIES_A_BLOCK, ROWS_A_BLOCK = 512, 4_096
+# Numbers of query blocks that travel as one, at most; and so many cells should be left for a task.
+GROUP, CELLS_A_TASK = 16, 4
 LOW = -(1 << 62)
 PACKED = "block long, ids binary, m binary, kind string, dim int, cutoff binary"
 
@@ -114,18 +119,22 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     known = keep(whole_vectors(rows, key, vector, scale))
     nq, nc = max(1, -(-asked.count() // QUERIES_A_BLOCK)), max(1, -(-known.count() // ROWS_A_BLOCK))
     packed = keep(blocks(known, nc))
-    row = lambda name: F.struct("block", "ids", "m", "kind", "dim", "cutoff").alias(name)
-    right = packed.select(row("c"), F.col("block").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
+    row = F.struct("block", "ids", "m", "kind", "dim", "cutoff")
+    group = max(1, min(GROUP, nq * nc // (CELLS_A_TASK * partitions(rows.sparkSession))))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    right = packed.select(row.alias("c"), F.col("block").alias("cb"), copies(-(-nq // group)).alias("qb"))
 
     def hits(asked: DataFrame, phase: int) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
                     pair = batch.slice(i, 1).to_pylist()[0]
-                    yield cell(pair["q"], pair["c"], k, lists, phase)
+                    for q in pair["q"]:
+                        yield cell(q, pair["c"], k, lists, phase)
 
-        left = blocks(asked, nq).select(row("q"), F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("cb"))
-        found = left.join(right, ["qb", "cb"]).select("q", "c").mapInArrow(run, "q long, query_id long, vec_id long, score long")
+        left = blocks(asked, nq).groupBy(F.expr(f"block div {group}").alias("qb")).agg(F.collect_list(row).alias("q")).select("q", "qb", copies(nc).alias("cb"))
+        # Both sides hold many copies of their input, which Spark's estimates for a broadcast do not see.
+        found = shuffled(left).join(shuffled(right), ["qb", "cb"]).select("q", "c").mapInArrow(run, "q long, query_id long, vec_id long, score long")
         w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
