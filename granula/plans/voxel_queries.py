@@ -227,8 +227,10 @@ _VOX = f"""{_BODYBOX}, v1 AS (SELECT *, {_RANGE('x')} AS ix FROM bx), v2 AS (SEL
  vp AS (SELECT part, ix, iy, iz, ix + 0.5::DOUBLE AS x, iy + 0.5::DOUBLE AS y, iz + 0.5::DOUBLE AS z FROM v3), {_hits_sql('vp', 'ix, iy, iz')}"""
 
 
-def _coverage(spark, sf):
-    return inside.coverage(cut(D.triangles(D.bodies(spark, sf))), "part", (0, 0, 0), 1.0)
+def _coverage(spark, sf, *more):
+    """Voxels inside each body, with the columns ``more`` of the bodies."""
+    b = D.bodies(spark, sf)
+    return inside.coverage(D.triangles(b), "part", (0, 0, 0), 1.0, more=b.select("part", *more) if more else None)
 
 
 @query("voxel_occupancy", f"WITH {D.TRI_SQL}, {_VOX}, oc AS (SELECT ix, iy, iz, count(*) AS cover FROM ins GROUP BY ALL) SELECT iz, cover, count(*) AS voxels FROM oc GROUP BY ALL")
@@ -242,7 +244,7 @@ def voxel_occupancy(spark, sf):
  lb AS (SELECT ix, iy, iz, CASE WHEN max(CAST(status = 'P' AS INT)) = 1 THEN -1 ELSE min(part) + 1 END AS label FROM st GROUP BY ALL) SELECT label, count(*) AS voxels FROM lb GROUP BY label""")
 def voxel_labels(spark, sf):
     """Voxel owners: bodies of pending orders are void and win, then the lowest body."""
-    cover = cut(_coverage(spark, sf).join(D.bodies(spark, sf).select("part", "status"), "part"))
+    cover = cut(_coverage(spark, sf, "status"))
     lab = inside.labels(cover.filter("status <> 'P'"), "part", cover.filter("status = 'P'"))
     return lab.groupBy("label").agg(F.count("*").alias("voxels"))
 
@@ -251,7 +253,7 @@ def voxel_labels(spark, sf):
  SELECT part, CAST(count(*) AS DOUBLE) AS overlap_volume FROM st JOIN vd USING (ix, iy, iz) WHERE status <> 'P' GROUP BY part""")
 def void_overlap(spark, sf):
     """Volume of each solid body lost to the void, counted in voxels."""
-    cover = cut(_coverage(spark, sf).join(D.bodies(spark, sf).select("part", "status"), "part"))
+    cover = cut(_coverage(spark, sf, "status"))
     return inside.overlap_volume(cover.filter("status <> 'P'"), cover.filter("status = 'P'"), ["part"], 1.0)
 
 
