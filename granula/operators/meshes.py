@@ -169,13 +169,8 @@ def with_shells(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), share: str =
     return joined if not whole else _labelled(tri.join(large, keys, "left_anti"), keys, share).unionByName(joined)
 
 
-def closedness(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), shells: bool = True) -> DataFrame:
-    """NULL reason for a closed, consistently wound mesh; otherwise the first rule it breaks.
-
-    Rules are tried in a fixed order: non-finite coordinate, degenerate face, repeated
-    face, open edge, edge of three or more faces, inconsistent winding, and (when
-    ``shells``) an edge-connected shell enclosing zero volume.
-    """
+def _defects(tri: DataFrame, keys: list[str], shells: bool) -> DataFrame:
+    """What ``closedness`` judges by, for meshes of any size: joins and grouped sums."""
     finite = [~(F.isnan(c) | (F.abs(c) == float("inf"))) for p in CORNERS for c in vec(p)]
     bad = finite[0]
     for f in finite[1:]:
@@ -194,22 +189,99 @@ def closedness(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), shells: bool
         F.sum((F.col("n") == 1).cast("long")).alias("open_edges"),
         F.sum((F.col("n") > 2).cast("long")).alias("nonmanifold_edges"),
         F.sum(((F.col("n") == 2) & (F.col("direction") != 0)).cast("long")).alias("inconsistent_edges"))
-    out = faces.join(e, list(keys))
-    flat = F.lit(False)
+    out = faces.join(e, list(keys)).withColumn("flat", F.lit(0))
     if shells:
         flux = S.tri_flux(vec("a"), vec("b"), vec("c"))
         vol = (with_shells(tri, keys, share="edge").groupBy(*keys, "shell")
                .agg(F.sum(flux).alias("v"), F.sum(F.abs(flux)).alias("w"))
                .groupBy(*keys).agg(F.max((F.isnan("v") | (F.abs("v") <= F.col("w") * ZERO_VOLUME)).cast("int")).alias("flat")))
-        out = out.join(vol, list(keys))
-        flat = F.col("flat") == 1
-    reason = (F.when(F.col("nonfinite_fid").isNotNull(), F.lit("non-finite coordinate"))
-              .when(F.col("degenerate_fid").isNotNull(), F.lit("degenerate face"))
+        out = out.drop("flat").join(vol, list(keys))
+    return out.select(*keys, F.col("nonfinite_fid").isNotNull().alias("nonfinite"), F.col("degenerate_fid").isNotNull().alias("degenerate"),
+                      "repeated", "open_edges", "nonmanifold_edges", "inconsistent_edges", (F.col("flat") == 1).alias("flat"))
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal rows together, and where each run of them begins."""
+    order = np.lexsort(columns[::-1])
+    fresh = np.ones(len(order), bool)
+    if len(order):
+        fresh[1:] = np.logical_or.reduce([np.diff(c[order]) != 0 for c in columns])
+    return order, np.flatnonzero(fresh)
+
+
+def _counted(n: np.ndarray, fid: np.ndarray, ids: np.ndarray, flux: np.ndarray, shells: bool) -> list[np.ndarray]:
+    """Repeated faces, open, non-manifold and inconsistent edges, and whether a shell is flat, of meshes of ``n`` faces each."""
+    row = np.repeat(np.arange(len(n)), n)
+    per = lambda r: np.bincount(r, minlength=len(n))
+    order, begin = _runs(row, *np.sort(ids, 1).T)
+    repeated = n - per(row[order][begin])
+    s, e = ids.ravel(), ids[:, [1, 2, 0]].ravel()
+    lo, hi, each = np.minimum(s, e), np.maximum(s, e), np.repeat(row, 3)
+    order, begin = _runs(each, lo, hi)
+    faces = np.diff(begin, append=len(order))
+    turn = np.add.reduceat(np.where(s < e, 1, -1)[order], begin) if len(begin) else begin
+    owner = each[order][begin]
+    out = [repeated, per(owner[faces == 1]), per(owner[faces > 2]), per(owner[(faces == 2) & (turn != 0)])]
+    if not shells:
+        return [*out, np.zeros(len(n), bool)]
+    hinges = np.stack([lo, hi], 1).reshape(-1, 3, 2)
+    order, begin = _runs(row, _smallest_linked(n, np.ones((len(fid), 3), bool), hinges, fid))
+    with np.errstate(invalid="ignore"):
+        v, w = (np.add.reduceat(x[order], begin) if len(begin) else x for x in (flux, np.abs(flux)))
+        thin = np.isnan(v) | (np.abs(v) <= w * ZERO_VOLUME)
+    return [*out, per(row[order][begin][thin]) > 0]
+
+
+def _whole_defects(tri: DataFrame, keys: list[str], shells: bool) -> DataFrame:
+    """``_defects`` of meshes of ``WHOLE`` faces at most, without nulls: faces come together once, without their corners."""
+    a, b, c = vec("a"), vec("b"), vec("c")
+    finite = F.lit(True)
+    for x in (*a, *b, *c):
+        finite = finite & ~(F.isnan(x) | (F.abs(x) == float("inf")))
+    face = F.struct(*(F.col(i).cast("bigint").alias(i) for i in ("fid", "ia", "ib", "ic")), S.tri_flux(a, b, c).alias("flux"))
+    rows = tri.groupBy(*keys).agg(F.collect_list(face).alias("_f"), (~F.min(finite)).alias("nonfinite"),
+                                  F.max((F.col("ia") == F.col("ib")) | (F.col("ib") == F.col("ic")) | (F.col("ic") == F.col("ia"))).alias("degenerate"))
+    names = ("repeated", "open_edges", "nonmanifold_edges", "inconsistent_edges")
+    kind = f"struct<{', '.join(f'{n}: bigint' for n in names)}, flat: boolean>"
+
+    @F.arrow_udf(kind)
+    def judge(faces: pa.Array) -> pa.Array:
+        f = faces.flatten()
+        column = lambda i: f.field(i).to_numpy(zero_copy_only=False)
+        found = _counted(faces.value_lengths().to_numpy(), column(0), np.stack([column(i) for i in (1, 2, 3)], 1), column(4), shells)
+        return pa.StructArray.from_arrays([*(pa.array(x.astype("i8")) for x in found[:4]), pa.array(found[4])], [*names, "flat"])
+
+    return rows.select(*keys, "nonfinite", "degenerate", judge("_f").alias("_j")).select(*keys, "nonfinite", "degenerate", "_j.*")
+
+
+def closedness(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), shells: bool = True) -> DataFrame:
+    """NULL reason for a closed, consistently wound mesh; otherwise the first rule it breaks.
+
+    Rules are tried in a fixed order: non-finite coordinate, degenerate face, repeated
+    face, open edge, edge of three or more faces, inconsistent winding, and (when
+    ``shells``) an edge-connected shell enclosing zero volume.
+    """
+    keys = list(keys)
+    out = None
+    if all(t in ("int", "bigint") for c, t in tri.dtypes if c in ("fid", "ia", "ib", "ic")):
+        known = F.lit(True)
+        for c in ("fid", "ia", "ib", "ic", *(p + k for p in CORNERS for k in "xyz")):
+            known = known & F.col(c).isNotNull()
+        others = cut(tri.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(known).alias("_known")).filter((F.col("_n") > WHOLE) | ~F.col("_known")).select(*keys).dropna())
+        some = tri.dropna(subset=keys)
+        if others.isEmpty():
+            out = _whole_defects(some, keys, shells)
+        else:
+            out = _whole_defects(some.join(others, keys, "left_anti"), keys, shells).unionByName(_defects(tri.join(others, keys, "left_semi"), keys, shells))
+    if out is None:
+        out = _defects(tri, keys, shells)
+    reason = (F.when(F.col("nonfinite"), F.lit("non-finite coordinate"))
+              .when(F.col("degenerate"), F.lit("degenerate face"))
               .when(F.col("repeated") > 0, F.lit("repeated face"))
               .when(F.col("open_edges") > 0, F.format_string("open: %d edge(s)", "open_edges"))
               .when(F.col("nonmanifold_edges") > 0, F.format_string("non-manifold: %d edge(s)", "nonmanifold_edges"))
               .when(F.col("inconsistent_edges") > 0, F.format_string("winding: %d edge(s)", "inconsistent_edges"))
-              .when(flat, F.lit("zero-volume shell")))
+              .when(F.col("flat"), F.lit("zero-volume shell")))
     return out.select(*keys, "open_edges", "nonmanifold_edges", "inconsistent_edges", reason.alias("reason"))
 
 
