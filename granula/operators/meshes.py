@@ -11,8 +11,9 @@ from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import solids as S
 from ..functions.vec import div, norm2, scale, sub, vec
@@ -129,14 +130,19 @@ def _smallest_linked(n: np.ndarray, ok: np.ndarray, hinges: np.ndarray, fid: np.
     return label
 
 
-def _labelled(tri: DataFrame, keys: list[str], share: str) -> DataFrame:
-    """``with_shells`` of meshes of ``WHOLE`` faces at most: the faces of a mesh come together once."""
+def _hinges(share: str) -> tuple[list[Column], list[Column]]:
+    """The two ends of each of a face's three hinges, and whether the hinge counts."""
     if share == "vertex":
         ends = [(F.col("i" + p), F.lit(0).cast("bigint")) for p in CORNERS]
     else:
         ends = [(F.least("i" + p, "i" + q), F.greatest("i" + p, "i" + q)) for p, q in ("ab", "bc", "ca")]
     hinges = [F.coalesce(e.cast("bigint"), F.lit(0)) for pair in ends for e in pair]
-    known = [F.coalesce(lo.isNotNull() & hi.isNotNull(), F.lit(False)) for lo, hi in ends]
+    return hinges, [F.coalesce(lo.isNotNull() & hi.isNotNull(), F.lit(False)) for lo, hi in ends]
+
+
+def _labelled(tri: DataFrame, keys: list[str], share: str) -> DataFrame:
+    """``with_shells`` of meshes of ``WHOLE`` faces at most: the faces of a mesh come together once."""
+    hinges, known = _hinges(share)
     rest = [c for c in tri.columns if c not in keys]
     rows = tri.dropna(subset=[*keys, "fid"]).groupBy(*keys).agg(F.collect_list(F.struct(*rest, F.array(*hinges).alias("_hinges"), F.array(*known).alias("_known"))).alias("_f"))
 
@@ -152,6 +158,66 @@ def _labelled(tri: DataFrame, keys: list[str], share: str) -> DataFrame:
     return each.select(*keys, *(F.col(f"_z._f.{c}").alias(c) for c in rest), F.col("_z._shell").cast(tri.schema["fid"].dataType).alias("shell")).select(*_order(tri, keys), "shell")
 
 
+def _codes(keys: list[pa.Array], n: int) -> np.ndarray:
+    """Equal numbers for rows with equal keys."""
+    code = np.zeros(n, np.int64)
+    for k in keys:
+        if pa.types.is_nested(k.type):
+            listed, seen = k.to_pylist(), {}
+            own = np.array([seen.setdefault(repr(v), len(seen)) for v in listed], np.int64)
+        else:
+            own = k.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1].ravel().astype(np.int64)
+    return code
+
+
+def _contracted(tri: DataFrame, keys: list[str], share: str) -> DataFrame:
+    """``with_shells`` of large meshes: faces that a batch of rows already links become one node of the graph.
+
+    Of a hinge only one row for each batch and node travels; a node is named by its smallest fid.
+    """
+    hinges, known = _hinges(share)
+    ask = lambda df: df.select("*", F.array(*hinges).alias("_hinges"), F.array(*known).alias("_known"), F.col("fid").cast("bigint").alias("_fid"))
+    schema = T.StructType([*tri.schema.fields, T.StructField("_node", T.LongType())])
+    names = tri.columns
+
+    def parts(batch):
+        n = batch.num_rows
+        code = _codes([batch.column(k) for k in keys], n)
+        return n, code, batch.column("_known").flatten().to_numpy(zero_copy_only=False).reshape(n, 3), batch.column("_hinges").flatten().to_numpy().reshape(n, 3, 2), batch.column("_fid").to_numpy()
+
+    def label(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n, code, ok, ends, fid = parts(batch)
+                order = np.argsort(code, kind="stable")
+                node = np.empty(n, np.int64)
+                node[order] = _smallest_linked(np.bincount(code), ok[order], ends[order], fid[order])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(node)], [*names, "_node"])
+
+    def met(batches):
+        """Distinct (keys, hinge, node) of a batch; a fid is a hinge, too: rows of one fid are one face."""
+        for batch in batches:
+            if batch.num_rows:
+                n, code, ok, ends, fid = parts(batch)
+                node = batch.column("_node").to_numpy()
+                face, which = np.nonzero(ok)
+                none = np.zeros(n, np.int64)
+                row = np.concatenate([face, np.arange(n)])
+                columns = [np.concatenate(c) for c in ((np.zeros(len(face), np.int64), none + 1), (ends[face, which, 0], fid), (ends[face, which, 1], none), (node[face], node))]
+                order, begin = _runs(code[row], *columns)
+                pick = order[begin]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row[pick])) for k in keys), *(pa.array(c[pick]) for c in columns)], [*keys, "_kind", "_lo", "_hi", "v"])
+
+    faces = cut(ask(tri.dropna(subset=[*keys, "fid"])).mapInArrow(label, schema))
+    hinge = ["_kind", "_lo", "_hi", "v"]
+    seen = ask(faces).select(*keys, "_hinges", "_known", "_fid", "_node").mapInArrow(met, T.StructType([*(tri.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in hinge)]))
+    links = seen.withColumn("u", F.min("v").over(Window.partitionBy(*keys, *hinge[:3]))).filter("u <> v").select(*keys, "u", "v")
+    found = connected_components(links, None, keys).withColumnRenamed("node", "_node")
+    shell = F.coalesce("component", "_node").cast(tri.schema["fid"].dataType).alias("shell")
+    return faces.join(found, [*keys, "_node"], "left").select(*_order(tri, keys), shell)
+
+
 def _order(tri: DataFrame, keys: list[str]) -> list[str]:
     """Columns as a join on keys and fid leaves them."""
     return [*keys, "fid", *(c for c in tri.columns if c not in keys and c != "fid")]
@@ -165,8 +231,10 @@ def with_shells(tri: DataFrame, keys: Sequence[str] = ("mesh_id",), share: str =
     if large.isEmpty():
         return _labelled(tri, keys, share)
     some = tri.join(large, keys, "left_semi")
-    joined = shuffled(some).join(face_shells(some, keys, share), [*keys, "fid"])
-    return joined if not whole else _labelled(tri.join(large, keys, "left_anti"), keys, share).unionByName(joined)
+    if not whole:
+        return shuffled(some).join(face_shells(some, keys, share), [*keys, "fid"])
+    few = tri.dropna(subset=keys).join(large, keys, "left_anti")
+    return _labelled(few, keys, share).unionByName(_contracted(some, keys, share))
 
 
 def _defects(tri: DataFrame, keys: list[str], shells: bool) -> DataFrame:
